@@ -9,6 +9,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,3 +83,17 @@ def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.R
     for batch in batches:
         yield part, before, batch
         before += batch.num_rows
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """Adds row_file and row_index, which name a row alike in every later scan, however the scan is split among tasks.
+
+    Two columns of Parquet's own metadata; a table that isn't a plain scan of files is staged first.
+    """
+    keys = [F.xxhash64("_metadata.file_path").alias("row_file"), F.col("_metadata.row_index").alias("row_index")]
+    if "row_file" in docs.columns or "row_index" in docs.columns:
+        raise ValueError("row_file and row_index are this function's own columns")
+    try:
+        return docs.select("*", *keys)
+    except AnalysisException:
+        return staged(docs, "rows").select("*", *keys)
