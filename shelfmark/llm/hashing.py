@@ -134,3 +134,35 @@ def code_points(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
         small = points < len(_LOWER)
         points[small] = _LOWER[points[small]]
     return points, at
+
+
+_STEP = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
+
+
+def ngrams(points: np.ndarray, offsets: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """The bucket, below 2**bits, of the n-gram that begins at each code point; 2**bits where the text ends before its end."""
+    h = np.full(len(points), n * 0x7F4A7C15 & 0xFFFFFFFF, np.uint32)
+    for i in range(n):
+        h[: len(points) - i] += points[i:] * _STEP[i] if i else points * _STEP[0]
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x7FEB352D)
+    out = (h >> np.uint32(32 - bits)).astype(np.int32)
+    ends = offsets[1:]
+    for i in range(1, n):
+        at = ends - i
+        out[at[at >= offsets[:-1]]] = 1 << bits
+    return out
+
+
+def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The sum of each text's own values; 0 for empty texts."""
+    out = np.zeros(len(offsets) - 1)
+    full = np.flatnonzero(offsets[1:] > offsets[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(values, offsets[:-1][full])
+    return out
+
+
+def counted(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ids, n = np.unique(buckets, return_counts=True)
+    return ids.astype(np.uint32), n.astype(np.uint32)
