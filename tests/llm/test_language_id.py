@@ -55,7 +55,7 @@ def test_ngrams_match_strings():
 
 def test_penalty_leaves_weights_out():
     rng = np.random.default_rng(0)
-    model = language_id.Ftrl(2, 50, l1=0.5)
+    model = language_id.Ftrl(2, 50, l1=8.0)
     for _ in range(400):
         x = rng.normal(size=51)
         model.learn(np.arange(51), x, int(x[0] > 0))
