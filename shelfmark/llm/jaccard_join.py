@@ -176,14 +176,13 @@ def _forest(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         label = new
 
 
-def compared(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """A row for each document: row_file, row_index, doc_id, class_id, n_links and first, whether it comes first in its class.
+def compared(keyed: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """keyed: documents with row keys. A row for each document: row_file, row_index, doc_id, class_id, n_links and first, whether it comes first in its class.
 
     n_links: the other documents whose Jaccard index with it reaches the threshold. class_id: the least id among all that
     are linked with it, directly or by way of others.
     """
-    keyed = with_row_key(docs.select("doc_id", "text"))
-    prepare(docs.sparkSession)
+    prepare(keyed.sparkSession)
     sketched = sketches(keyed)
     head = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_file", "row_index")
     sets = staged(sketched.groupBy("a", "b").agg(F.min(head).alias("head"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "sets")
@@ -224,10 +223,11 @@ def compared(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK)
 
 def jaccard_join(docs: DataFrame, **options) -> DataFrame:
     """doc_id, class_id and n_links of each document."""
-    return compared(docs, **options).select("doc_id", "class_id", "n_links")
+    return compared(with_row_key(docs.select("doc_id", "text")), **options).select("doc_id", "class_id", "n_links")
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that come first in their class: the least id, or of equal ids the first row."""
-    gone = compared(docs, **options).filter(~F.col("first")).select("row_file", "row_index")
-    return with_row_key(docs).join(gone, ["row_file", "row_index"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    keyed = with_row_key(docs)
+    gone = compared(keyed, **options).filter(~F.col("first")).select("row_file", "row_index")
+    return keyed.join(gone, ["row_file", "row_index"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
