@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard_join, language_id, line_dedup, packing, quality
+from . import fingerprints, jaccard_join, language_id, language_model, line_dedup, packing, quality
 from .common import read
 
 
@@ -29,6 +29,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(read(spark, sf_dir, "documents"))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.language_model(read(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(read(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
     "op3_language_id": op3_language_id,
+    "op4_language_model": op4_language_model,
     "op5_fingerprints": op5_fingerprints,
     "op6_line_dedup": op6_line_dedup,
     "op8_jaccard_join": op8_jaccard_join,
