@@ -3,17 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfmark.llm import packing
+from shelfmark.llm import decontamination, jaccard_join, language_id, line_dedup, packing
 from shelfmark.llm.common import read, staged
 from shelfmark.llm.queries import tokenizer_path
 
+#: A document is rejected if it has no letter, or if no language is likelier than this.
+LEAST_SCORE = 0.4
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that have a language."""
+    names = "language_found", "language_score"
+    kept = language_id.labelled(docs, language_id.trained(docs), names).filter((F.col(names[0]) != language_id.UNKNOWN) & (F.col(names[1]) >= LEAST_SCORE))
+    return kept.select(*[f"`{c}`" for c in docs.columns])
+
+
+def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes the lines that are in many documents out of all."""
+    return line_dedup.deduplicated(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies."""
+    return jaccard_join.deduplicated(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that hold no benchmark item."""
+    return decontamination.clean(docs, read(spark, sf_dir, "benchmark"))
+
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts all tokens into training sequences."""
     return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_common_lines),
+    ("jaccard_join", drop_near_copies),
+    ("decontamination", drop_benchmark_leaks),
+    ("packing", pack),
+]
 
 #: SQL can express neither a trained classifier nor a tokenizer; tests hold each stage against brute force.
 ORACLE_SQL = None
