@@ -32,7 +32,7 @@ THRESHOLD, SHINGLE = 0.8, 5
 HASHES, BAND = 128, 5
 BANDS = HASHES // BAND
 STEP, TOLERANCE = 16, 1e-6
-BLOCK = 256
+BLOCK = 512
 _A = np.random.default_rng(8).integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(9).integers(0, 1 << 63, HASHES, np.uint64)
 
@@ -202,18 +202,24 @@ def compared(keyed: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK)
     least = minimum_matches(threshold, TOLERANCE)
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["a", "b"], ignore_index=True)  # so that a forest's roots are its least sets
         p, q = _linked(frame, least, threshold)
         copies, n = frame["copies"].to_numpy(), len(frame)
         links = np.bincount(p, copies[q], n) + np.bincount(q, copies[p], n)
         root, some = _forest(n, p, q), np.flatnonzero(links)
         a, b = frame["a"].to_numpy(), frame["b"].to_numpy()
-        return pd.DataFrame({"a": a[some], "b": b[some], "links": links[some].astype(np.int64), "root_a": a[root[some]], "root_b": b[root[some]]})
+        whole = np.full(len(some), frame["i"].iloc[0] < 0)
+        return pd.DataFrame({"whole": whole, "a": a[some], "b": b[some], "links": links[some].astype(np.int64), "root_a": a[root[some]], "root_b": b[root[some]]})
 
     met = comparisons(members, block).join(shown, ["a", "b"])
-    linked = staged(met.groupBy("g", "i", "j").applyInPandas(compare, "a bigint, b bigint, links bigint, root_a bigint, root_b bigint"), "links")
+    linked = staged(met.groupBy("g", "i", "j").applyInPandas(compare, "whole boolean, a bigint, b bigint, links bigint, root_a bigint, root_b bigint"), "links")
     per_set = linked.groupBy("a", "b").agg(F.sum("links").alias("links"))
-    roots = components(linked.select(F.struct("a", "b").alias("u"), F.struct(F.col("root_a").alias("a"), F.col("root_b").alias("b")).alias("v")))
-    placed = sets.drop("bands").join(per_set, ["a", "b"], "left").join(roots.select("node.a", "node.b", "root"), ["a", "b"], "left")
+    root = F.struct(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    roots = linked.filter("whole").select("a", "b", root.alias("root"))  # these clusters were seen whole
+    parts = linked.filter("not whole").select(F.struct("a", "b").alias("u"), root.alias("v"))
+    if not parts.isEmpty():
+        roots = roots.unionByName(components(parts).select("node.a", "node.b", "root"))
+    placed = sets.drop("bands").join(per_set, ["a", "b"], "left").join(roots, ["a", "b"], "left")
     placed = placed.withColumn("root", F.coalesce("root", F.struct("a", "b")))
     heads = placed.groupBy("root").agg(F.min("head").alias("class_head"))
     known = placed.join(heads, "root").select("a", "b", "class_head", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
