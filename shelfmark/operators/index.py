@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import native
+from ..functions.words import terms_udf
 
 FIELD_COLUMNS = ("title", "author", "memo", "type", "banned_by")
 
@@ -23,6 +24,15 @@ def postings(rows: DataFrame, fields: tuple[str, ...] = ("title",)) -> DataFrame
     return by_field.select("row_id", "x.field", F.posexplode("x.words").alias("wi", "term")).select("term", "row_id", "field", "wi")
 
 
+def full_postings(rows: DataFrame, fields: tuple[str, ...] = ("title",)) -> DataFrame:
+    """B1: (term, row_id, field, wi, kind) of words and their other forms: numbers, initials, hyphened parts, labels with numbers."""
+    out = None
+    for f in fields:
+        own = rows.select(F.col("id").alias("row_id"), F.lit(f).alias("field"), F.explode(terms_udf(F.col(f))).alias("x")).select("x.term", "row_id", "field", "x.wi", "x.kind")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def compounds(posted: DataFrame) -> DataFrame:
     """B2: each two neighbouring words joined."""
     w = W.partitionBy("row_id", "field").orderBy("wi")

@@ -26,8 +26,9 @@ def units(queries: DataFrame) -> DataFrame:
 
 
 def exact_hits(asked: DataFrame, posted: DataFrame) -> DataFrame:
-    """Equal terms."""
-    return asked.join(posted, F.col("word") == F.col("term")).select("query_id", "unit", "row_id", "field", "wi", F.lit("exact").alias("kind"))
+    """Equal terms; postings of other forms say of which kind they are."""
+    kind = F.col("kind") if "kind" in posted.columns else F.lit("exact")
+    return asked.join(posted, F.col("word") == F.col("term")).select("query_id", "unit", "row_id", "field", "wi", kind.alias("kind"))
 
 
 def alternate_hits(asked: DataFrame, posted: DataFrame) -> DataFrame:

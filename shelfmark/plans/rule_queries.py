@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import isbn, native
-from ..operators import index, match, rules
+from ..functions import folding, isbn, native
+from ..operators import index, match, quality, rules
 from .catalogue import _ISBNS, _POSTED, _TIERS, _UNITS, _WORDS, _isbns, asked, posted, query, rows, table, tiered_search
 
 _GROUPS = f"k AS (SELECT p_partkey AS row_id, array_to_string(list_sort({_WORDS.format('p_name')}), ' ') AS group_key FROM part)"
@@ -107,3 +107,27 @@ def union_lookups(spark, sf_dir):
 @query("SELECT o_orderpriority AS tab, count(*) AS rows FROM orders GROUP BY 1")
 def tab_row_counts(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("tab")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query()
+def full_postings(spark, sf_dir):
+    """Words of benchmark texts with every other form they are found by."""
+    texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("title"))
+    return index.full_postings(texts)
+
+
+@query()
+def folded_titles(spark, sf_dir):
+    """Distinct display titles, folded with accents, ligatures and symbols."""
+    titles = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
+    return titles.select("page_id", folding.display_title_udf(F.col("title")).alias("shown"), folding.fold_udf(F.col("title")).alias("folded"))
+
+
+@query("""WITH r AS (SELECT event_type AS tab, CAST(user_id AS VARCHAR) AS fingerprint FROM events), p AS (SELECT tab, count(*) AS n FROM r GROUP BY 1)
+    SELECT 'missing tab' AS tab, 'missing' AS problem, CAST(0 AS BIGINT) AS rows UNION ALL SELECT tab, 'noSchoolCode', n FROM p WHERE tab <> 'click'
+    UNION ALL SELECT tab, 'repeatedRow', CAST(sum(n) AS BIGINT) FROM (SELECT tab, fingerprint, count(*) AS n FROM r GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1""")
+def list_problems(spark, sf_dir):
+    codes = F.when(F.col("event_type") == "click", F.array(F.lit("UAS"))).otherwise(F.array(F.lit("KES")))
+    own = table(spark, sf_dir, "events").select(F.col("event_type").alias("tab"), F.col("event_id").alias("row"), F.col("user_id").cast("string").alias("fingerprint"), codes.alias("codes"))
+    wanted = own.select("tab").distinct().unionByName(spark.sql("SELECT 'missing tab' AS tab"))
+    return quality.problems(own, wanted)
