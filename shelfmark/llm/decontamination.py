@@ -212,7 +212,7 @@ def located(item: list[int], masks: dict[int, int], text: list[int], most: int)
 
 
 def _blocks(benchmark: DataFrame, block_items: int) -> Iterator[Items]:
-    items = benchmark.select("item_id", "text").filter("text is not null")
+    items = benchmark.select("item_id", "text").filter("text is not null").distinct()
     n = max(1, ceil(items.count() / block_items))
     for k in range(n):
         yield Items(sorted(((r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()), key=lambda x: (x[0] is not None, x[0], x[1])))

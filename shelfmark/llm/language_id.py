@@ -3,7 +3,7 @@
 Features: n-grams of one to three lower-cased characters, hashed into 2**BITS buckets; a bucket's share of the text's
 n-grams times its inverse document frequency, which is counted over all training documents. Training: follow the
 regularised leader with elastic-net penalties, on a bounded sample of labelled rows (`per_language` of each language,
-chosen by hash). Calibration: one temperature, fitted on a fifth of the sample that training leaves out.
+drawn row by row with a seed). Calibration: one temperature, fitted on a fifth of the sample that training leaves out.
 
 A text that is null, empty or has no letter is `und` with score 0. Ties go to the language first in order. Rows without
 a language train nothing but are predicted. With no training row at all every text is `und`. Repeated rows and equal or
@@ -69,8 +69,8 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 def sampled(docs: DataFrame, languages: dict[str, int], per_language: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
     """Counted buckets, language and fold of at most about `per_language` labelled rows of each language."""
-    share = F.create_map(*[x for k, n in languages.items() for x in (F.lit(k), F.lit(int(2**32 * min(1.0, per_language / n))))])
-    chosen = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**32)) < share[F.col("lang")]).select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(5)).alias("fold"))
+    share = F.create_map(*[x for k, n in languages.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
+    chosen = docs.filter(F.rand(3) < share[F.col("lang")]).select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(5)).alias("fold"))  # row by row: no group of copies comes as a whole
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

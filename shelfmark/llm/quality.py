@@ -3,7 +3,7 @@
 Every word and every n-gram of three and four characters (spaces mark where words begin and end) has a bucket by hash,
 and every bucket a learned vector; a word that repeats the word before it also counts in a bucket of its own kind. A text is the average of its vectors; a softmax over two outputs follows. Vectors and
 output weights are trained by stochastic gradient descent in numpy on a bounded sample of labelled rows (`sample_rows`,
-chosen by hash; each row's whole text counts). As the output is linear in the average, a bucket's vector and the output
+drawn row by row with a seed; each row's whole text counts). As the output is linear in the average, a bucket's vector and the output
 weights are folded into one number a bucket before all texts are scored: the same score for a small part of the work.
 
 Null and empty texts have the score of the intercept alone. Labels that are null or belong to no document train nothing;
@@ -70,11 +70,10 @@ def _weights(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def sampled(docs: DataFrame, labels: DataFrame, sample_rows: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """Counted buckets and labels of about `sample_rows` labelled rows."""
-    labels = labels.filter("quality is not null and doc_id is not null").select(F.col("doc_id").alias("of"), "quality")
-    n = labels.count()
-    share = F.lit(int(2**32 * min(1.0, sample_rows / max(n, 1))))
-    few = F.broadcast(labels.filter(F.pmod(F.xxhash64("of"), F.lit(2**32)) < share))  # sample_rows small rows
-    chosen = docs.join(few, docs["doc_id"] == few["of"]).select("quality", "text")
+    labels = labels.filter("quality is not null and doc_id is not null").select(F.col("doc_id").alias("of"), F.col("quality").cast("int").alias("quality")).distinct()
+    n = docs.select("doc_id").join(labels, F.col("doc_id") == F.col("of")).count()
+    share = min(1.0, sample_rows / max(n, 1))
+    chosen = docs.filter(F.rand(2) < share).join(labels, F.col("doc_id") == F.col("of")).select("quality", "text")  # row by row: no repeated id comes as a whole
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,7 +86,7 @@ def sampled(docs: DataFrame, labels: DataFrame, sample_rows: int) -> tuple[list[
                     counts.append(c.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["quality", "ids", "counts"])
 
-    rows = chosen.select(F.col("quality").cast("int"), "text").mapInArrow(count, "quality int, ids binary, counts binary").collect()
+    rows = chosen.mapInArrow(count, "quality int, ids binary, counts binary").collect()
     rows.sort(key=lambda r: (r.ids, r.quality))  # alike whatever the order of tasks
     return [(np.frombuffer(r.ids, np.uint32), np.frombuffer(r.counts, np.uint32)) for r in rows], np.array([r.quality > 0 for r in rows], int)
 
