@@ -90,8 +90,8 @@ def best_hits(hits: DataFrame) -> DataFrame:
     meta = ~F.col("field").isin(*_CONTENT)
     value = F.when(meta, 3000).otherwise(_lookup(KIND_CLASS, "kind") * 1000) + _lookup(KIND_WEIGHT, "kind") * _lookup(FIELD_WEIGHT, "field") / 100
     ranked = hits.select("query_id", "row_id", "unit", F.struct((-value).alias("rank"), "field", "wi", "kind").alias("h"))
-    best = ranked.groupBy("query_id", "row_id", "unit").agg(F.min("h").alias("h"))
-    return best.select("query_id", "row_id", "unit", "h.field", "h.wi", "h.kind", (-F.col("h.rank")).cast("bigint").alias("value"))
+    best = ranked.groupBy("query_id", "row_id", "unit").agg(F.min("h").alias("h"), F.max(F.col("h.field").isin(*_CONTENT)).alias("content"))
+    return best.select("query_id", "row_id", "unit", "h.field", "h.wi", "h.kind", (-F.col("h.rank")).cast("bigint").alias("value"), "content")
 
 
 def candidates(hits: DataFrame, asked: DataFrame) -> DataFrame:
@@ -101,28 +101,44 @@ def candidates(hits: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def tiers(best: DataFrame, asked: DataFrame) -> DataFrame:
-    """A2, A3: match where every required unit hits exactly, close where every one hits, possible where half do."""
+    """A2, A3: match where every required unit hits exactly, close where every one hits, possible where half do.
+
+    A row counts only if a required unit hits one of its content fields (J10).
+    """
     needed = asked.filter("required").select("query_id", "unit")
     total = needed.groupBy("query_id").agg(F.count(F.lit(1)).alias("required"))
     strong = _lookup(KIND_CLASS, "kind") == 3
     anchor = (_lookup(KIND_CLASS, "kind") >= 2) & F.col("field").isin(*_CONTENT)
     found = best.join(needed, ["query_id", "unit"], "left_semi").groupBy("query_id", "row_id").agg(
-        F.count(F.lit(1)).alias("hit"), F.count_if(strong).alias("strong"), F.count_if(anchor).alias("anchors"), F.sum("value").cast("bigint").alias("quality")
-    )
+        F.count(F.lit(1)).alias("hit"), F.count_if(strong).alias("strong"), F.count_if(anchor).alias("anchors"), F.sum("value").cast("bigint").alias("quality"), F.max("content").alias("content")
+    ).filter("content")
     tier = F.when((F.col("strong") == F.col("required")) & (F.col("anchors") > 0), 3).when(F.col("hit") == F.col("required"), 2).when(F.col("anchors") * 2 >= F.col("required"), 1)
     return found.join(total, "query_id").withColumn("tier", tier).filter("tier is not null").select("query_id", "row_id", "tier", "hit", "strong", "anchors", "required", "quality")
 
 
+def asked_terms(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(query_id, unit, term, kind): every term that a unit may stand for, so that one join with the postings finds them all."""
+    own = asked.select("query_id", "unit", F.col("word").alias("term"), F.lit("exact").alias("kind"))
+    forms = F.array_distinct(F.concat(native.plural_forms(F.col("word")), native.british_american(F.col("word"))))
+    other = asked.select("query_id", "unit", F.explode(forms).alias("term"), F.lit("alt").alias("kind"))
+    near = asked.join(near_terms(asked, vocabulary), "word").select("query_id", "unit", "term", F.when(F.col("edits") == 1, "edit1").otherwise("edit2").alias("kind"))
+    w = W.partitionBy("query_id").orderBy("unit")
+    pairs = asked.withColumn("next", F.lead("word").over(w)).filter("next is not null")
+    joined = pairs.select("query_id", F.explode(F.array("unit", F.col("unit") + 1)).alias("unit"), F.concat("word", "next").alias("term"), F.lit("compound").alias("kind"))
+    return own.unionByName(other).unionByName(near).unionByName(joined)
+
+
 def search(queries: DataFrame, posted: DataFrame, unfinished: bool = True) -> DataFrame:
     """All queries over the index at once: the tier of each row that any of them finds."""
     asked = units(queries)
-    hits = exact_hits(asked, posted).unionByName(alternate_hits(asked, posted)).unionByName(fuzzy_hits(asked, posted))
-    both = posted.filter("field = 'title'")
-    hits = hits.unionByName(joined_hits(asked, _compounds(both))).unionByName(split_hits(asked, both))
+    vocabulary = posted.filter(F.col("term").rlike("^[a-z]+$")).select("term")
+    listed_kind = F.when((F.col("asked_kind") == "exact") & F.lit("kind" in posted.columns), F.col("kind") if "kind" in posted.columns else F.lit("exact")).otherwise(F.col("asked_kind"))
+    found = asked_terms(asked, vocabulary).withColumnRenamed("kind", "asked_kind").join(posted, "term")
+    hits = found.filter((F.col("asked_kind") != "alt") | F.col("field").isin("title", "author", "memo")).select("query_id", "unit", "row_id", "field", "wi", listed_kind.alias("kind"))
+    hits = hits.unionByName(joined_hits(asked, _compounds(posted.filter("field = 'title'"))))
     if unfinished:
         hits = hits.unionByName(prefix_hits(asked, posted))
-    own = hits.join(candidates(hits, asked), ["query_id", "row_id"], "left_semi")
-    return tiers(best_hits(own), asked)
+    return tiers(best_hits(hits), asked)
 
 
 def _compounds(posted: DataFrame) -> DataFrame:
