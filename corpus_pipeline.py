@@ -10,7 +10,7 @@ from shelfmark.llm.common import read, staged
 from shelfmark.llm.queries import tokenizer_path
 
 #: A document is rejected if it has no letter, or if no language is likelier than this.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
