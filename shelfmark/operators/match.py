@@ -122,6 +122,7 @@ def asked_terms(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
     forms = F.array_distinct(F.concat(native.plural_forms(F.col("word")), native.british_american(F.col("word"))))
     other = asked.select("query_id", "unit", F.explode(forms).alias("term"), F.lit("alt").alias("kind"))
     near = asked.join(near_terms(asked, vocabulary), "word").select("query_id", "unit", "term", F.when(F.col("edits") == 1, "edit1").otherwise("edit2").alias("kind"))
+    near = near.join(other, ["query_id", "unit", "term"], "left_anti")  # grey is no misspelt gray
     w = W.partitionBy("query_id").orderBy("unit")
     pairs = asked.withColumn("next", F.lead("word").over(w)).filter("next is not null")
     joined = pairs.select("query_id", F.explode(F.array("unit", F.col("unit") + 1)).alias("unit"), F.concat("word", "next").alias("term"), F.lit("compound").alias("kind"))

@@ -1,6 +1,6 @@
 import pytest
 from shelfmark.functions import isbn, links, people, words
-from shelfmark.operators import index, match, rules
+from shelfmark.operators import explain, index, match, rules
 
 
 def forms(text):
@@ -68,3 +68,15 @@ def test_rules(spark):
     assert sorted(map(tuple, rules.merged_spans(spans).collect())) == [(1, 0, 5), (1, 7, 9), (2, 1, 9)]
     found = spark.createDataFrame([(1, 1, 3, 1), (1, 2, 2, 1), (2, 3, 2, 1)], "query_id int, row_id int, tier int, required int")
     assert sorted((r.row_id, r.tier) for r in rules.demoted(found).collect()) == [(1, 3), (2, 1), (3, 2)]
+
+
+def test_reasons_and_hints(spark):
+    rows = spark.createDataFrame([(1, "Sunflower Houses", "grey"), (2, "Parent Teacher News", ""), (3, "ptn yearbook", "")], "id int, title string, author string")
+    posted = index.postings(rows, ("title", "author"))
+    q = spark.createDataFrame([(1, "gray sun flower hosues"), (2, "parent teacher nights"), (3, "pa"), (4, "ptn yearbook")], "query_id int, text string")
+    asked = match.units(q)
+    got = {(r.query_id, r.row_id): (r.reasons, r.fields) for r in explain.reasons(asked, posted).collect()}
+    assert got[1, 1] == (["similar spelling: houses", "written as: sunflower", "gray = grey"], ["title", "author"])
+    assert got[4, 3] == ([], ["title"])
+    hints = explain.hints(q, asked, match.search(q, posted, unfinished=False), posted.select("term")).collect()
+    assert {(r.query_id, r.code) for r in hints} == {(2, "acronym"), (3, "keepTyping")} and {r.text for r in hints if r.code == "acronym"} == {"ptn"}
