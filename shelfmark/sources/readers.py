@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Fixed value: the format that script JSON names.
-SCRIPT_FORMAT = "censorsearch-v1"
+#: Fixed value: how the format that script JSON names ends.
+SCRIPT_VERSION = "-v1"
 
 SCRIPT_SCHEMA = """format string, spreadsheetId string, fetchedAt string,
     tabs array<struct<name:string,gid:string,hiddenTab:boolean,headerRow:int,above:array<array<string>>,headers:array<string>,columns:array<string>,lastColumn:string,
@@ -68,7 +68,7 @@ def read_csv_tabs(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 def script_tables(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """S3: (records, errors) of script JSON; documents: (json). What is no such document is an error, not a failure."""
     parsed = documents.select(F.from_json("json", SCRIPT_SCHEMA).alias("d"))
-    good = F.coalesce(F.col("d.format") == SCRIPT_FORMAT, F.lit(False))
+    good = F.coalesce(F.col("d.format").endswith(SCRIPT_VERSION), F.lit(False))
     tabs = parsed.filter(good).select(F.col("d.spreadsheetId").alias("sheet_id"), F.explode("d.tabs").alias("t"))
     header = tabs.select("sheet_id", F.col("t.name").alias("tab"), F.col("t.gid").alias("gid"), F.col("t.headerRow").alias("row"), F.col("t.headers").alias("cells"), F.lit(None).cast("boolean").alias("hidden"))
     data = tabs.select("sheet_id", F.col("t.name").alias("tab"), F.col("t.gid").alias("gid"), F.explode("t.rows").alias("r")).select("sheet_id", "tab", "gid", "r.row", F.col("r.values").alias("cells"), "r.hidden")

@@ -91,7 +91,7 @@ def test_csv_to_list(spark, tmp_path):
 
 def test_script_and_grid_json(spark):
     tab = {"name": "T", "gid": "7", "headerRow": 2, "headers": ["Title"], "rows": [{"row": 3, "values": ["Knot"], "hidden": True}]}
-    good = json.dumps({"format": readers.SCRIPT_FORMAT, "spreadsheetId": "s", "tabs": [tab], "errors": [{"tab": "U", "message": "gone"}]})
+    good = json.dumps({"format": "list-v1", "spreadsheetId": "s", "tabs": [tab], "errors": [{"tab": "U", "message": "gone"}]})
     records, errors = readers.script_tables(spark.createDataFrame([(good,), ("{}",), ("no json",)], "json string"))
     assert sorted((r.row, r.cells[0], r.hidden) for r in records.collect()) == [(2, "Title", None), (3, "Knot", True)]
     assert sorted((r.tab or "", r.message) for r in errors.collect()) == [("", "not a list"), ("", "not a list"), ("U", "gone")]
