@@ -1,13 +1,13 @@
 """Operator 4, LM scoring: a gated recurrent language model beside a unigram base.
 
 Tokens are runs of bytes other than ASCII white space, A-Z in lower case, and one end for each text. Counts cover every
-training text and stay in a staged table. The VOCABULARY most frequent tokens are the model's own words; all others are one
-word of the model, which shares its probability among them as the base does, so that the model is a distribution over
+training text and stay in a staged table. The tokens seen LEAST_COUNT times, and in any case the VOCABULARY most frequent, are
+the model's own words, MOST_WORDS at most; all others are one word of the model, which shares its probability among them as the base does, so that the model is a distribution over
 all tokens. The output softmax is factored: first a class of words, then the word within its class.
 
-Training: gradients in numpy, backpropagation truncated to WINDOW steps, the state carried on from window to window. A
-fixed share of all training texts (more of a small corpus: TRAIN_TOKENS at least, if it has them) is dealt into shards;
-in each round every shard takes a pass over its texts from the same weights, and the shards' weights are averaged.
+Training: gradients in numpy, backpropagation truncated to WINDOW steps, the state carried on from window to window; input
+rows of words that a window doesn't hold stay as they are. All training texts are dealt into shards, larger ones for a larger
+vocabulary; in each round every shard takes a pass over its texts from the same weights, and the shards' weights are averaged.
 Scoring carries each text's state across windows from its first token to its end.
 
 A lookup of at most FREQUENT tokens goes to every task; the other tokens of each text are joined with the table of counts.
@@ -31,11 +31,13 @@ from .common import numbered, prepare, remainder, staged, unstage
 
 END = b"\n"  # no word holds white space
 VOCABULARY, FREQUENT = 1500, 150_000
+#: A word needs so many occurrences to be learnt; a stream holds words in two bytes each.
+LEAST_COUNT, MOST_WORDS = 100, 65_000
 HIDDEN, WINDOW, LANES = 24, 20, 64
-TRAIN_SHARE, TRAIN_TOKENS, SHARD_TOKENS, ROUNDS = 1 / 32, 600_000, 300_000, 3
-#: So many sets of weights are averaged at a time; more of them in levels.
+SHARD_TOKENS, ROUNDS = 300_000, 3
+#: So many sets of VOCABULARY words' weights are averaged at a time, fewer of a larger vocabulary; more of them in levels.
 AVERAGED = 64
-_FLUSH = 400_000
+_FLUSH, _PIECE = 400_000, 1 << 15
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -74,7 +76,7 @@ class Lookup:
         self.index = {w: k for k, (w, _) in enumerate(frequent)}
         c = np.array([c for _, c in frequent], np.float64)
         self.base = np.log10((c + 1) / (n + v + 1))
-        self.words = min(len(frequent), VOCABULARY)
+        self.words = min(len(frequent), max(VOCABULARY, min(int((c >= LEAST_COUNT).sum()), MOST_WORDS)))
         self.other = self.words  # the model's word for all else
         own = c[: self.words]
         self.frequency = np.append(own, max(n - own.sum(), 1.0))
@@ -172,10 +174,10 @@ class Gru:
     def train(self, stream: np.ndarray, end: int, rate: float) -> None:
         """One pass over the texts that `stream` holds one after another, each with its end, in LANES lanes."""
         lanes = min(LANES, max(1, len(stream) // WINDOW))
-        length = len(stream) // lanes
+        length = ceil(len(stream) / lanes)
         if length < 1:
             return
-        grid = stream[: lanes * length].reshape(lanes, length).T
+        grid = np.resize(stream, lanes * length).reshape(lanes, length).T  # the last lane is filled up from the start
         before = np.vstack([np.full((1, lanes), end), grid[:-1]])
         h = np.zeros((lanes, HIDDEN), np.float32)
         for at in range(0, length, WINDOW):
@@ -189,29 +191,38 @@ class Gru:
             word = grid[at : at + len(kept)].ravel()
             _, dh, dc, do = self.outputs(np.concatenate(states), word, grad=True)
             dh = dh.reshape(len(kept), lanes, HIDDEN)
-            dx, du, carry = np.zeros_like(self.w["x"]), np.zeros_like(self.w["u"]), np.zeros((lanes, HIDDEN), np.float32)
+            dx, du, carry = np.zeros(self.w["x"].shape, np.float32), np.zeros_like(self.w["u"]), np.zeros((lanes, HIDDEN), np.float32)
+            inner = np.empty((len(kept), lanes, 3 * HIDDEN), np.float32)
             for t in range(len(kept) - 1, -1, -1):
-                h0, alive, inputs, z, r, new, back = kept[t]
+                h0, alive, _, z, r, new, back = kept[t]
                 d = dh[t] + carry
                 dn = d * (1 - z) * (1 - new * new)
                 dz, dr = d * (h0 - new) * z * (1 - z), dn * back * r * (1 - r)
-                np.add.at(dx, inputs, np.concatenate([dz, dr, dn], axis=1))
+                inner[t] = np.concatenate([dz, dr, dn], axis=1)
                 dy = np.concatenate([dz, dr, dn * r], axis=1)
                 du += h0.T @ dy
                 carry = (d * z + dy @ self.w["u"].T) * alive
+            inputs = before[at : at + len(kept)].ravel()
+            order = np.argsort(inputs, kind="stable")
+            self.seen, first = np.unique(inputs[order], return_index=True)
+            dx[self.seen] = np.add.reduceat(inner.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
             self.update({"x": dx, "u": du, "c": dc, "o": do}, len(word), rate)
 
     def update(self, grads: dict[str, np.ndarray], n: int, rate: float) -> None:
         self.steps += 1
+        grads = grads | {"x": grads["x"][self.seen]}
         norm = sum(float((g * g).sum()) for g in grads.values()) ** 0.5 / n
         scale = np.float32(min(1.0, 1.0 / max(norm, 1e-9)) / n)
         fix = (1 - 0.999**self.steps) ** 0.5 / (1 - 0.9**self.steps)
         for k, g in grads.items():
-            m, v = self.adam[k]
+            rows = self.seen if k == "x" else slice(None)
+            m, v = (a[rows] for a in self.adam[k])
             g *= scale
             m += np.float32(0.1) * (g - m)
             v += np.float32(0.001) * (g * g - v)
-            self.w[k] -= np.float32(rate * fix) * m / (np.sqrt(v) + np.float32(1e-7))
+            self.w[k][rows] -= np.float32(rate * fix) * m / (np.sqrt(v) + np.float32(1e-7))
+            if k == "x":
+                self.adam[k][0][rows], self.adam[k][1][rows] = m, v
 
     def score(self, texts: list[np.ndarray], end: int, window: int = 32) -> np.ndarray:
         """Natural logarithm of each whole text's probability."""
@@ -235,19 +246,25 @@ class Gru:
                 h = self.step(h, before[t])[0]
                 states[t] = h
             t, k = np.nonzero(grid >= 0)
-            np.add.at(out, order[k], self.outputs(states[t, k], grid[t, k]).astype(np.float64))
+            for a in range(0, len(t), _PIECE):
+                own, step = k[a : a + _PIECE], t[a : a + _PIECE]
+                np.add.at(out, order[own], self.outputs(states[step, own], grid[step, own]).astype(np.float64))
         return out
 
 
 _WEIGHTS = "shard bigint, n bigint, x binary, u binary, c binary, o binary"
 
 
-def _averaged(frame: pd.DataFrame) -> pd.DataFrame:
+def _averaged(frame: pd.DataFrame, averaged: int = AVERAGED) -> pd.DataFrame:
     """One set of weights in place of several, by their tokens."""
     frame = frame.sort_values(["n", "u"])  # alike whatever the order of tasks
     total = frame["n"].sum()
     mean = {name: sum(np.frombuffer(w, np.float32) * np.float32(n / total) for w, n in zip(frame[name], frame["n"], strict=True)).tobytes() for name in ("x", "u", "c", "o")}
-    return pd.DataFrame({"shard": [int(frame["shard"].iloc[0]) // AVERAGED], "n": [total], **{k: [v] for k, v in mean.items()}})
+    return pd.DataFrame({"shard": [int(frame["shard"].iloc[0]) // averaged], "n": [total], **{k: [v] for k, v in mean.items()}})
+
+
+def _mean(averaged: int):
+    return lambda frame: _averaged(frame, averaged)
 
 
 def _lesson(weights, end: int, rate: float):
@@ -269,12 +286,14 @@ def _lesson(weights, end: int, rate: float):
 
 
 def trained(train: DataFrame, look: Lookup) -> Gru:
-    """Rounds of passes over shards of a share of the training texts, the shards' weights averaged after each."""
+    """Rounds of passes over shards of all training texts, the shards' weights averaged after each."""
     model = Gru(look.frequency)
     if not look.n:
         return model
-    share = min(1.0, max(TRAIN_SHARE, TRAIN_TOKENS / look.n))
-    shards = max(1, ceil(look.n * share / SHARD_TOKENS))
+    larger = max(1.0, look.words / VOCABULARY)  # weights and texts of a shard stay in proportion
+    shards = max(1, ceil(look.n / (SHARD_TOKENS * larger)))
+    averaged = max(2, int(AVERAGED / larger))
+    model.adam = {}
     context = train.sparkSession.sparkContext
     shared_look = context.broadcast(look)
 
@@ -283,20 +302,20 @@ def trained(train: DataFrame, look: Lookup) -> Gru:
             streams = [shared_look.value.words_of(shared_look.value.ids(tokens(t))).astype(np.uint16).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(streams, pa.binary())], ["words"])
 
-    chosen = train.select("text").filter(F.rand(4) < share).mapInArrow(words, "words binary")  # row by row: no group of copies comes as a whole
-    sample = staged(chosen.withColumn("shard", F.floor(F.rand(5) * shards)), "lmsample")
+    streams = train.select("text").mapInArrow(words, "words binary")
+    dealt = staged(streams.withColumn("shard", F.floor(F.rand(5) * shards)), "lmstreams")  # row by row: no group of copies comes as a whole
     end = look.index.get(END, look.other)
     for k in range(ROUNDS):
         learn = _lesson(context.broadcast(model), end, 0.015 / (1 + k))
-        learned, k = sample.groupBy("shard").applyInPandas(learn, _WEIGHTS), shards
-        while k > AVERAGED:
-            learned, k = learned.groupBy(F.floor(F.col("shard") / AVERAGED).alias("level")).applyInPandas(_averaged, _WEIGHTS), ceil(k / AVERAGED)
-        found = learned.toPandas()  # AVERAGED sets of weights at most
+        learned, k = dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(learn, _WEIGHTS), shards
+        while k > averaged:
+            learned, k = learned.groupBy(F.floor(F.col("shard") / averaged).alias("level")).applyInPandas(_mean(averaged), _WEIGHTS), ceil(k / averaged)
+        found = learned.toPandas()  # `averaged` sets of weights at most
         if not len(found):
             break
         mean = _averaged(found).iloc[0]
         model.w = {name: np.frombuffer(mean[name], np.float32).reshape(v.shape).copy() for name, v in model.w.items()}
-    unstage(sample)
+    unstage(dealt)
     return model
 
 

@@ -98,3 +98,31 @@ def test_gradients(monkeypatch):
             down = loss()
             gru.w[name][at] = own
             assert abs((up - down) / 2e-2 - g[at]) < 0.02 * abs(g[at]) + 2e-3, (name, at)
+
+
+def test_every_training_token_is_learnt_from(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 200_000)
+    rows = [(k, " ".join(f"w{(k * 7 + i) % 90}" for i in range(2500))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    look = lm.lookup(lm.counts(docs))
+    assert look.n == 400 * 2501  # over the 600,000 of which a share was taken before
+    passes = []
+    monkeypatch.setattr(lm, "_averaged", lambda frame: passes.append(int(frame["n"].sum())) or frame)
+    lm.trained(docs, look)
+    assert passes == [look.n] * lm.ROUNDS
+
+
+def test_words_of_the_model_grow_with_the_counts():
+    frequent = [(b"%d" % k, 10_000_000 // (k + 1)) for k in range(80_000)]
+    n = sum(c for _, c in frequent)
+    assert lm.Lookup(n, 80_000, frequent).words == lm.MOST_WORDS
+    assert lm.Lookup(n, 80_000, [(w, c // 100) for w, c in frequent]).words == lm.VOCABULARY
+    assert lm.Lookup(n, 80_000, [(w, c // 10) for w, c in frequent]).words == sum(c // 10 >= lm.LEAST_COUNT for _, c in frequent) > 5000
+
+
+def test_no_token_of_a_stream_is_left_out(monkeypatch):
+    gru, seen = model(), []
+    monkeypatch.setattr(gru, "outputs", lambda h, word, grad=False, own=gru.outputs: (seen.extend(word.tolist()), own(h, word, grad))[1])
+    stream = np.concatenate([np.full(lm.LANES * lm.WINDOW, 3), [7, 7, 7]])
+    gru.train(stream, 0, 0.01)
+    assert seen.count(7) == 3
