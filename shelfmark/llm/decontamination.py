@@ -2,10 +2,10 @@
 
 A CGK walk reads a string by steps; at each step it notes the character under its pointer, and a random bit that depends
 on the step and the character says whether the pointer moves on. Strings at a small edit distance fall back into step, so
-their walks are at a small Hamming distance. A repetition samples SAMPLED of the walk's first STEPS notes as its key.
-Items have a walk from each of their word starts that has room for it (items shorter than a walk: one walk over a window
-of the item's own size), documents from every word start, with the same random bits; equal keys of any of REPETITIONS make
-an item-sized window a candidate. A document's walk is dropped as soon as the notes sampled so far begin no item's key:
+their walks are at a small Hamming distance. A repetition samples some of the walk's first notes as its key; shorter items
+have shorter walks, shorter keys and more repetitions (PLANS). Items have a walk from each of their word starts that
+usually has room for it (items shorter than a walk also one over a window of their own size), documents from every
+word start, with the same random bits; equal keys of any repetition make an item-sized window a candidate. A document's walk is dropped as soon as the notes sampled so far begin no item's key:
 the same outcome as comparing whole keys. The item is then searched for in the window with a margin, by exact edit
 distance: it is in the document if a substring is within MOST_EDITS of the item's length.
 
@@ -28,15 +28,27 @@ from . import hashing
 from .common import prepare
 
 MOST_EDITS = 0.2
-STEPS, SAMPLED, REPETITIONS = 44, 16, 4
-STAGES = (4, 7, SAMPLED)
 #: Items that go to a task at a time; more are taken in blocks, each against all documents.
 BLOCK_ITEMS = 20_000
 _TABLE = 20
+#: Fewer candidates are verified one by one; of more, so many together.
+_FEW, _TOGETHER = 32, 2048
 
-_RNG = np.random.default_rng(7)
-_MOVES = _RNG.integers(0, 2, (REPETITIONS, STEPS, 256)).astype(np.int64)
-_SAMPLES = [np.sort(_RNG.choice(STEPS, SAMPLED, replace=False)) for _ in range(REPETITIONS)]
+
+class Plan:
+    """Walks of `steps`, of which `stages[-1]` notes are sampled in each repetition."""
+
+    def __init__(self, least: int, steps: int, repetitions: int, stages: tuple[int, ...]) -> None:
+        rng = np.random.default_rng(7)
+        self.least, self.steps, self.repetitions, self.stages = least, steps, repetitions, stages
+        self.moves = rng.integers(0, 2, (repetitions, steps, 256)).astype(np.int64)
+        self.samples = [np.sort(rng.choice(steps, stages[-1], replace=False)) for _ in range(repetitions)]
+        self.room = steps * 5 // 8  # a walk moves on at half of its steps
+
+
+#: By the least length of their items. Windows of an item's own size have OWN_REPETITIONS.
+PLANS = [Plan(100, 32, 8, (4, 7, 14)), Plan(50, 28, 12, (4, 7, 12)), Plan(0, 24, 16, (5, 7, 10))]
+STEPS, OWN_REPETITIONS = PLANS[0].steps, 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(0x3002, bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
@@ -70,31 +82,31 @@ def word_starts(chars: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
-def walk(symbols: np.ndarray, starts: np.ndarray, repetition: int, size: int, tables: list[np.ndarray] | None = None):
+def walk(symbols: np.ndarray, starts: np.ndarray, repetition: int, size: int, tables: list[np.ndarray] | None = None, plan: Plan = PLANS[0]):
     """Without tables the keys at each stage; with tables (places among starts, keys) of the walks that pass every stage's table."""
     pointer, alive = starts.astype(np.int64), np.arange(len(starts))
     end = pointer + size
-    key = np.full(len(starts), size if size < STEPS else STEPS, np.uint64)
-    stages, moves = [], _MOVES[repetition]
-    sample, n = set(_SAMPLES[repetition].tolist()), 0
-    for step in range(int(_SAMPLES[repetition][-1]) + 1):
+    key = np.full(len(starts), size if size < plan.steps else plan.steps, np.uint64)
+    stages, moves = [], plan.moves[repetition]
+    sample, n = set(plan.samples[repetition].tolist()), 0
+    for step in range(int(plan.samples[repetition][-1]) + 1):
         c = symbols[pointer]
-        if size < STEPS:
+        if size < plan.steps:
             c = np.where(pointer < end, c, 0)
         if step in sample:
             key = (key ^ c) * _ODD
             key ^= key >> np.uint64(29)
             n += 1
-            if n in STAGES:
+            if n in plan.stages:
                 if tables is None:
                     stages.append(key.copy())
                 else:
                     passes = np.flatnonzero(tables[len(stages)][key * _ODD >> np.uint64(64 - _TABLE)])
                     stages.append(None)
                     pointer, alive, key, c = pointer[passes], alive[passes], key[passes], c[passes]
-                    end = end[passes] if size < STEPS else end
+                    end = end[passes] if size < plan.steps else end
         pointer = pointer + moves[step][c & 0xFF]
-        if size < STEPS:
+        if size < plan.steps:
             pointer = np.minimum(pointer, len(symbols) - 1)
     return stages if tables is None else (alive, key)
 
@@ -104,7 +116,7 @@ class Items:
 
     def __init__(self, items: list[tuple[object, str | None]]) -> None:
         self.ids, self.text, self.masks = [], [], []
-        anchors: dict[int, list[tuple[int, int]]] = {}
+        anchors: dict[tuple[int, int], list[tuple[int, int]]] = {}  # by plan and size
         chars = []
         for item, text in items:
             ((_, _, own, _, _),) = list(normalized(pa.array([text or ""], pa.large_string()))) or [(0, 0, np.zeros(0, np.uint32), None, None)]
@@ -115,24 +127,27 @@ class Items:
             self.ids.append(item)
             self.text.append(own.tolist())
             chars.append(own)
-            if len(own) < STEPS:
-                anchors.setdefault(len(own), []).append((k, 0))
-            else:
-                starts = word_starts(own, np.array([0, len(own)]))
-                room = starts[starts <= len(own) - STEPS]
-                anchors.setdefault(STEPS, []).extend((k, int(q)) for q in (room if len(room) else [0]))
+            n = next(n for n, plan in enumerate(PLANS) if len(own) >= plan.least)
+            if len(own) < PLANS[n].steps:
+                anchors.setdefault((n, len(own)), []).append((k, 0))
+            starts = word_starts(own, np.array([0, len(own)]))
+            room = starts[starts <= len(own) - PLANS[n].room]
+            if len(own) >= PLANS[n].steps and not len(room):
+                room = [0]
+            anchors.setdefault((n, PLANS[n].steps), []).extend((k, int(q)) for q in room)
         for own in self.text:
             masks: dict[int, int] = {}
             for i, c in enumerate(own):
                 masks[c] = masks.get(c, 0) | 1 << i
             self.masks.append(masks)
-        self.walks = []  # (size, repetition, tables of the stages, sorted keys, their items, their places)
-        for size, own in anchors.items():
+        self.walks = []  # (plan, size, repetition, tables of the stages, sorted keys, their items, their places)
+        for (n, size), own in anchors.items():
+            plan = PLANS[n]
             by_item: dict[int, list[int]] = {}
             for k, q in own:
                 by_item.setdefault(k, []).append(q)
-            for repetition in range(REPETITIONS):
-                parts = [walk(_symbols(chars[k]), np.array(q), repetition, size) for k, q in by_item.items()]
+            for repetition in range(plan.repetitions if size == plan.steps else OWN_REPETITIONS) if own else ():
+                parts = [walk(_symbols(chars[k]), np.array(q), repetition, size, plan=plan) for k, q in by_item.items()]
                 stages = [np.concatenate(p) for p in zip(*parts, strict=True)]
                 tables = []
                 for key in stages:
@@ -141,14 +156,14 @@ class Items:
                     tables.append(table)
                 order = np.argsort(stages[-1], kind="stable")
                 flat = np.array([(k, q) for k, places in by_item.items() for q in places])[order]
-                self.walks.append((size, repetition, tables, stages[-1][order], flat[:, 0], flat[:, 1]))
+                self.walks.append((plan, size, repetition, tables, stages[-1][order], flat[:, 0], flat[:, 1]))
 
     def candidates(self, chars: np.ndarray, at: np.ndarray) -> set[tuple[int, int, int]]:
         """(text, item, about where in the group the item would start)."""
         symbols, starts = _symbols(chars), word_starts(chars, at)
         found: set[tuple[int, int, int]] = set()
-        for size, repetition, tables, keys, items, places in self.walks:
-            alive, key = walk(symbols, starts, repetition, size, tables)
+        for plan, size, repetition, tables, keys, items, places in self.walks:
+            alive, key = walk(symbols, starts, repetition, size, tables, plan)
             lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
             n = hi - lo
             which = np.repeat(np.arange(len(key)), n)
@@ -158,10 +173,66 @@ class Items:
             found.update(zip(text.tolist(), items[entry].tolist(), ((position - places[entry]) >> 5).tolist(), strict=True))
         return found
 
+    def near(self, found: np.ndarray, chars: np.ndarray, at: np.ndarray, most_edits: float) -> np.ndarray:
+        """Which candidates hold their item: the verification's distance, for many windows at a time."""
+        if len(found) < _FEW:
+            return np.ones(len(found), bool)
+        size = np.array([len(t) for t in self.text])[found[:, 1]]
+        most = (most_edits * size + 1e-9).astype(np.int64)
+        first = np.maximum(at[found[:, 0]], (found[:, 2] << 5) - most)
+        last = np.minimum(at[found[:, 0] + 1], (found[:, 2] + 1 << 5) + size + most)
+        out = np.zeros(len(found), bool)
+        order = np.lexsort((found[:, 1], size))
+        for k in range(0, len(order), _TOGETHER):
+            own = order[k : k + _TOGETHER]
+            out[own] = self._distances(found[own, 1], first[own], last[own], chars) <= most[own]
+        return out
+
+    def _distances(self, items: np.ndarray, first: np.ndarray, last: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """Least edit distance of each item to a substring of its window: Myers' bits in blocks of 64."""
+        distinct, which = np.unique(items, return_inverse=True)
+        size = np.array([len(self.text[k]) for k in distinct])
+        letters = np.unique(np.concatenate([np.array(self.text[k], np.uint32) for k in distinct]))
+        blocks = int(size.max() + 63) // 64
+        if len(distinct) > 1 and len(distinct) * blocks * len(letters) > 1 << 22:
+            half = len(items) // 2
+            return np.concatenate([self._distances(items[a], first[a], last[a], chars) for a in (slice(half), slice(half, None))])
+        masks = np.zeros((len(letters) + 1, blocks, len(distinct)), np.uint64)  # the last letter is any other
+        for n, k in enumerate(distinct):
+            place = np.arange(size[n])
+            np.bitwise_or.at(masks, (np.searchsorted(letters, np.array(self.text[k], np.uint32)), place >> 6, n), np.uint64(1) << (place & 63).astype(np.uint64))
+        one, top = np.uint64(1), np.uint64(63)
+        plus, minus = np.full((blocks, len(items)), ~np.uint64(0)), np.zeros((blocks, len(items)), np.uint64)
+        block, bit = (size[which] - 1) // 64, ((size[which] - 1) % 64).astype(np.uint64)
+        score = size[which].astype(np.int64)
+        best = score.copy()
+        for step in range(int((last - first).max())):
+            pointer = first + step
+            c = chars[np.minimum(pointer, len(chars) - 1)]
+            code = np.minimum(np.searchsorted(letters, c), len(letters) - 1)
+            code = np.where((letters[code] == c) & (pointer < last), code, len(letters))
+            up = down = np.zeros(len(items), np.uint64)
+            for b in range(blocks):
+                eq, p, m = masks[code, b, which], plus[b], minus[b]
+                xv = eq | m
+                eq = eq | down
+                xh = (((eq & p) + p) ^ p) | eq
+                ph = m | ~(xh | p)
+                mh = p & xh
+                change = (ph >> bit & one).astype(np.int64) - (mh >> bit & one).astype(np.int64)
+                score += np.where(block == b, change, 0)
+                next_up, next_down = ph >> top, mh >> top
+                ph, mh = ph << one | up, mh << one | down
+                plus[b], minus[b] = mh | ~(xv | ph), ph & xv
+                up, down = next_up, next_down
+            np.minimum(best, score, out=best)
+        return best
+
     def matches(self, chars: np.ndarray, at: np.ndarray, most_edits: float = MOST_EDITS) -> dict[tuple[int, int], tuple[int, int, int]]:
         """(text, item): the least (distance, start, end), places counted in the group."""
         out: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for text, item, about in sorted(self.candidates(chars, at)):
+        found = np.array(sorted(self.candidates(chars, at)), np.int64).reshape(-1, 3)
+        for text, item, about in found[self.near(found, chars, at, most_edits)].tolist():
             own = self.text[item]
             k = int(most_edits * len(own) + 1e-9)
             best = out.get((text, item))

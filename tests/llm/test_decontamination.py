@@ -80,6 +80,42 @@ def test_recall_of_the_search():
     assert within > 100 and found >= 0.95 * within
 
 
+def recall(length, share, seed, n=50):
+    rng = random.Random(seed)
+    items = [(k, passage(rng, length)[:length].strip()) for k in range(n)]
+    index = D.Items(items)
+    found = within = 0
+    for k, own in items:
+        text = passage(rng, 20) + " " + edited(rng, own, share) + " " + passage(rng, 20)
+        if nearest(own, text)[0] <= int(D.MOST_EDITS * nearest(own, own)[1] + 1e-9):
+            within += 1
+            ((_, _, chars, at, _),) = list(D.normalized(pa.array([text])))
+            found += (0, k) in index.matches(chars, at)
+    assert within > 0.9 * n
+    return found / within
+
+
+def test_recall_by_length_up_to_the_threshold():
+    least = {30: (0.9, 0.8, 0.7), 60: (0.98, 0.95, 0.9), 100: (0.98, 0.95, 0.9), 200: (1, 0.98, 0.95)}
+    for length, floors in least.items():
+        got = [recall(length, share, length) for share in (0.1, 0.15, 0.2)]
+        assert all(g >= f for g, f in zip(got, floors, strict=True)), (length, got)
+
+
+def test_distances_of_many_windows_are_those_of_one():
+    rng = random.Random(4)
+    items = [(k, passage(rng, 40)[: rng.randrange(1, 300)]) for k in range(30)] + [(30, "日本語の文章です"), (31, "x" * 64)]
+    index = D.Items(items)
+    text = " ".join(edited(rng, own, 0.2) + passage(rng, 9) for _, own in items)
+    ((_, _, chars, _, _),) = list(D.normalized(pa.array([text])))
+    which = np.array([rng.randrange(len(index.text)) for _ in range(150)])
+    first = np.array([rng.randrange(len(chars)) for _ in which])
+    last = np.minimum(len(chars), first + np.array([rng.randrange(400) for _ in which]))
+    got = index._distances(which, first, last, chars)
+    for k, a, b, d in zip(which, first, last, got, strict=True):
+        assert d == D._scan(index.masks[k], len(index.text[k]), chars[a:b].tolist(), False)[0]
+
+
 def test_walks_of_equal_strings_are_equal_and_end_at_the_window():
     symbols = D._symbols(np.array([ord(c) for c in "abcdefgh" * 12], np.uint32))
     a, b = (D.walk(symbols, np.array([s]), 0, D.STEPS)[-1] for s in (0, 8))
