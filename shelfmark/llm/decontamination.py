@@ -5,7 +5,8 @@ on the step and the character says whether the pointer moves on. Strings at a sm
 their walks are at a small Hamming distance. A repetition samples some of the walk's first notes as its key; shorter items
 have shorter walks, shorter keys and more repetitions (PLANS). Items have a walk from each of their word starts that
 usually has room for it (items shorter than a walk also one over a window of their own size), documents from every
-word start, with the same random bits; equal keys of any repetition make an item-sized window a candidate. A document's walk is dropped as soon as the notes sampled so far begin no item's key:
+word start, with the same random bits; runs without white space that are long, or of a script without it, have walks from
+their inside too: of items from every ITEM_EVERY characters, of documents from every one; equal keys of any repetition make an item-sized window a candidate. A document's walk is dropped as soon as the notes sampled so far begin no item's key:
 the same outcome as comparing whole keys. The item is then searched for in the window with a margin, by exact edit
 distance: it is in the document if a substring is within MOST_EDITS of the item's length.
 
@@ -31,10 +32,28 @@ MOST_EDITS = 0.2
 #: Items that go to a task at a time; more are taken in blocks, each against all documents.
 BLOCK_ITEMS = 20_000
 _TABLE = 20
+#: A longer run without white space isn't one word.
+LONG_RUN, ITEM_EVERY = 16, 4
+#: Scripts that set no spaces between words: Thai to Myanmar, Khmer, Chinese and Japanese.
+_UNSPACED = np.array([[0xE00, 0x10A0], [0x1780, 0x1800], [0x2E80, 0xAC00], [0xF900, 0xFB00], [0x20000, 0x40000]], np.uint32)
 #: Fewer candidates are verified one by one; of more, so many together.
 _FEW, _TOGETHER = 32, 2048
 
 
+def walk_starts(chars: np.ndarray, at: np.ndarray, every: int) -> np.ndarray:
+    """Word starts, and every so many characters of runs that aren't one word."""
+    starts = word_starts(chars, at)
+    if not len(starts):
+        return starts
+    bounds = np.union1d(np.flatnonzero(chars == 32), at)
+    size = bounds[np.searchsorted(bounds, starts, "right")] - starts
+    unspaced = np.searchsorted(_UNSPACED.ravel(), chars, "right") % 2 == 1
+    held = np.append(0, np.cumsum(unspaced))
+    several = (size > LONG_RUN) | (held[starts + size] > held[starts])
+    n = np.where(several, (size + every - 1) // every, 1)
+    return np.repeat(starts, n) + every * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+
+
 class Plan:
     """Walks of `steps`, of which `stages[-1]` notes are sampled in each repetition."""
 
@@ -130,7 +149,7 @@ class Items:
             n = next(n for n, plan in enumerate(PLANS) if len(own) >= plan.least)
             if len(own) < PLANS[n].steps:
                 anchors.setdefault((n, len(own)), []).append((k, 0))
-            starts = word_starts(own, np.array([0, len(own)]))
+            starts = walk_starts(own, np.array([0, len(own)]), ITEM_EVERY)
             room = starts[starts <= len(own) - PLANS[n].room]
             if len(own) >= PLANS[n].steps and not len(room):
                 room = [0]
@@ -160,7 +179,7 @@ class Items:
 
     def candidates(self, chars: np.ndarray, at: np.ndarray) -> set[tuple[int, int, int]]:
         """(text, item, about where in the group the item would start)."""
-        symbols, starts = _symbols(chars), word_starts(chars, at)
+        symbols, starts = _symbols(chars), walk_starts(chars, at, 1)
         found: set[tuple[int, int, int]] = set()
         for plan, size, repetition, tables, keys, items, places in self.walks:
             alive, key = walk(symbols, starts, repetition, size, tables, plan)

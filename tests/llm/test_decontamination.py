@@ -102,6 +102,25 @@ def test_recall_by_length_up_to_the_threshold():
         assert all(g >= f for g, f in zip(got, floors, strict=True)), (length, got)
 
 
+def test_items_inside_text_without_spaces():
+    rng = random.Random(11)
+    letters = {"chinese": [chr(c) for c in range(0x4E00, 0x5200)], "thai": [chr(c) for c in range(0xE01, 0xE2F)], "base64": list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/")}
+    run = lambda own, n: "".join(rng.choice(own) for _ in range(n))
+    for own in letters.values():
+        items = [(k, run(own, n)) for k, n in enumerate((12, 30, 43, 44, 60, 90, 150, 300))]
+        index = D.Items(items)
+        for k, item in items:
+            for text in (run(own, 57) + item + run(own, 33), "so " + run(own, 9) + edited(rng, item, 0.05) + run(own, 21) + " it is"):
+                ((_, _, chars, at, _),) = list(D.normalized(pa.array([text])))
+                assert (0, k) in index.matches(chars, at), (item, text)
+
+
+def test_walks_inside_runs_stay_in_them():
+    ((_, _, chars, at, _),) = list(D.normalized(pa.array(["ab " + "x" * 20 + " cd", "", "日本 e", "fg"])))
+    assert D.walk_starts(chars, at, 1).tolist() == [0, *range(3, 23), 24, 26, 27, 29, 30]
+    assert D.walk_starts(chars, at, 4).tolist() == [0, *range(3, 23, 4), 24, 26, 29, 30]
+
+
 def test_distances_of_many_windows_are_those_of_one():
     rng = random.Random(4)
     items = [(k, passage(rng, 40)[: rng.randrange(1, 300)]) for k in range(30)] + [(30, "日本語の文章です"), (31, "x" * 64)]
