@@ -4,11 +4,14 @@ A CGK walk reads a string by steps; at each step it notes the character under it
 on the step and the character says whether the pointer moves on. Strings at a small edit distance fall back into step, so
 their walks are at a small Hamming distance. A repetition samples some of the walk's first notes as its key; shorter items
 have shorter walks, shorter keys and more repetitions (PLANS). Items have a walk from each of their word starts that
-usually has room for it (items shorter than a walk also one over a window of their own size), documents from every
-word start, with the same random bits; runs without white space that are long, or of a script without it, have walks from
-their inside too: of items from every ITEM_EVERY characters, of documents from every one; equal keys of any repetition make an item-sized window a candidate. A document's walk is dropped as soon as the notes sampled so far begin no item's key:
-the same outcome as comparing whole keys. The item is then searched for in the window with a margin, by exact edit
-distance: it is in the document if a substring is within MOST_EDITS of the item's length.
+usually has room for it (items shorter than a walk also one over a window of their own size), documents from every word start,
+with the same random bits; runs without white space that are long, or of a script without it, have walks from their inside
+too: of items from every ITEM_EVERY characters, of documents from every one. A document's walk is dropped as soon as the
+notes sampled so far begin no item's key: the same outcome as comparing whole keys. Equal keys say where the item would
+start; that makes an item-sized window a candidate, for longer items (Plan.hits) only if another of the item's anchors says
+about the same start. The item is then searched for in the window with a margin, by exact edit distance: it is in the
+document if a substring is within MOST_EDITS of the item's length. Items that share an opening are candidates together where
+it occurs, and are verified together.
 
 Item and text are compared in lower case, with each run of white space as one space. Null, empty and blank items match
 nothing; null and empty texts hold nothing. Equal items of different ids each match; repeated documents, equal and null ids
@@ -31,43 +34,55 @@ from .common import prepare
 MOST_EDITS = 0.2
 #: Items that go to a task at a time; more are taken in blocks, each against all documents.
 BLOCK_ITEMS = 20_000
-_TABLE = 20
 #: A longer run without white space isn't one word.
 LONG_RUN, ITEM_EVERY = 16, 4
 #: Scripts that set no spaces between words: Thai to Myanmar, Khmer, Chinese and Japanese.
 _UNSPACED = np.array([[0xE00, 0x10A0], [0x1780, 0x1800], [0x2E80, 0xAC00], [0xF900, 0xFB00], [0x20000, 0x40000]], np.uint32)
 #: Fewer candidates are verified one by one; of more, so many together.
-_FEW, _TOGETHER = 32, 2048
+_FEW, _TOGETHER = 32, 1024
+#: Bytes of text that are verified together, and characters that are walked over together.
+_GROUP, _PIECE = 6 << 20, 1 << 18
 
 
 def walk_starts(chars: np.ndarray, at: np.ndarray, every: int) -> np.ndarray:
     """Word starts, and every so many characters of runs that aren't one word."""
-    starts = word_starts(chars, at)
+    inside = chars != 32
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    edges = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(chars))]
+    first[edges] = inside[edges]
+    starts = np.flatnonzero(first)
     if not len(starts):
         return starts
-    bounds = np.union1d(np.flatnonzero(chars == 32), at)
-    size = bounds[np.searchsorted(bounds, starts, "right")] - starts
-    unspaced = np.searchsorted(_UNSPACED.ravel(), chars, "right") % 2 == 1
-    held = np.append(0, np.cumsum(unspaced))
-    several = (size > LONG_RUN) | (held[starts + size] > held[starts])
+    last = inside.copy()
+    last[:-1] &= ~inside[1:]
+    last[edges - 1] = inside[edges - 1]
+    size = np.flatnonzero(last) + 1 - starts
+    several = size > LONG_RUN
+    if chars.max() >= _UNSPACED[0, 0]:
+        unspaced = np.searchsorted(_UNSPACED.ravel(), chars, "right") % 2 == 1
+        held = np.append(0, np.cumsum(unspaced))
+        several |= held[starts + size] > held[starts]
+    if not several.any():
+        return starts
     n = np.where(several, (size + every - 1) // every, 1)
     return np.repeat(starts, n) + every * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
 
 
 class Plan:
-    """Walks of `steps`, of which `stages[-1]` notes are sampled in each repetition."""
+    """Walks of `steps`, of which `stages[-1]` notes are sampled in each repetition; `hits` anchors must agree on the item's place."""
 
-    def __init__(self, least: int, steps: int, repetitions: int, stages: tuple[int, ...]) -> None:
+    def __init__(self, least: int, steps: int, repetitions: int, stages: tuple[int, ...], hits: int) -> None:
         rng = np.random.default_rng(7)
-        self.least, self.steps, self.repetitions, self.stages = least, steps, repetitions, stages
-        self.moves = rng.integers(0, 2, (repetitions, steps, 256)).astype(np.int64)
+        self.least, self.steps, self.repetitions, self.stages, self.hits = least, steps, repetitions, stages, hits
+        self.seeds = rng.integers(0, 1 << 32, repetitions, np.uint64).astype(np.uint32)
         self.samples = [np.sort(rng.choice(steps, stages[-1], replace=False)) for _ in range(repetitions)]
         self.room = steps * 5 // 8  # a walk moves on at half of its steps
 
 
 #: By the least length of their items. Windows of an item's own size have OWN_REPETITIONS.
-PLANS = [Plan(100, 32, 8, (4, 7, 14)), Plan(50, 28, 12, (4, 7, 12)), Plan(0, 24, 16, (5, 7, 10))]
-STEPS, OWN_REPETITIONS = PLANS[0].steps, 8
+PLANS = [Plan(150, 32, 6, (3, 5, 8, 12), 2), Plan(80, 28, 10, (3, 5, 8, 11), 2), Plan(40, 24, 7, (3, 5, 7, 9), 1), Plan(0, 16, 12, (4, 6), 1)]
+STEPS, OWN_REPETITIONS = max(plan.steps for plan in PLANS), 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(0x3002, bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
@@ -76,7 +91,7 @@ _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000
 def normalized(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first, last, characters, offsets, place of each character in its group's texts) of groups of texts."""
     data, offsets = hashing.buffers(texts)
-    for a, b in hashing.groups(offsets):
+    for a, b in hashing.groups(offsets, _GROUP):
         points, at = hashing.code_points(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower=True)
         space = _SPACE[np.minimum(points, 0x3001)]
         again = np.zeros(len(points), bool)
@@ -87,65 +102,72 @@ def normalized(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         yield a, b, np.where(space, 32, points)[kept].astype(np.uint32), np.searchsorted(kept, at), np.append(kept, len(points)) if len(points) else np.zeros(1, np.int64)
 
 
-def _symbols(chars: np.ndarray) -> np.ndarray:
-    """Small numbers that stand for characters in walks; 0 beyond the end."""
-    return np.append((chars * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16) | np.uint16(1), np.zeros(STEPS + 1, np.uint16))
+def _symbols(chars: np.ndarray, seed: np.uint32) -> np.ndarray:
+    """32 random bits for each character, 0 beyond the end. Bit t says whether a walk moves on at step t."""
+    x = (chars ^ seed) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    x ^= x >> np.uint32(16)
+    out = np.zeros(len(chars) + STEPS + 1, np.uint32)
+    out[: len(chars)] = x
+    return out
 
 
-def word_starts(chars: np.ndarray, at: np.ndarray) -> np.ndarray:
-    inside = chars != 32
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    starts = at[:-1][at[:-1] < len(chars)]
-    first[starts] = inside[starts]
-    return np.flatnonzero(first)
-
-
-def walk(symbols: np.ndarray, starts: np.ndarray, repetition: int, size: int, tables: list[np.ndarray] | None = None, plan: Plan = PLANS[0]):
+def walk(symbols: np.ndarray, starts: np.ndarray, repetition: int, size: int, plan: Plan, tables: list[np.ndarray] | None = None):
     """Without tables the keys at each stage; with tables (places among starts, keys) of the walks that pass every stage's table."""
-    pointer, alive = starts.astype(np.int64), np.arange(len(starts))
+    pointer, alive = starts.astype(np.int32), None
+    own = size < plan.steps
     end = pointer + size
-    key = np.full(len(starts), size if size < plan.steps else plan.steps, np.uint64)
-    stages, moves = [], plan.moves[repetition]
-    sample, n = set(plan.samples[repetition].tolist()), 0
-    for step in range(int(plan.samples[repetition][-1]) + 1):
-        c = symbols[pointer]
-        if size < plan.steps:
-            c = np.where(pointer < end, c, 0)
-        if step in sample:
-            key = (key ^ c) * _ODD
+    key = np.full(len(starts), min(size, plan.steps), np.uint64)
+    stages, sample, n = [], plan.samples[repetition].tolist(), 0
+    for step in range(sample[-1] + 1):
+        c = symbols.take(pointer, mode="clip")
+        if own:
+            c = np.where(pointer < end, c, np.uint32(0))
+        if step == sample[n]:
+            key ^= c
+            key *= _ODD
             key ^= key >> np.uint64(29)
             n += 1
             if n in plan.stages:
                 if tables is None:
                     stages.append(key.copy())
                 else:
-                    passes = np.flatnonzero(tables[len(stages)][key * _ODD >> np.uint64(64 - _TABLE)])
-                    stages.append(None)
-                    pointer, alive, key, c = pointer[passes], alive[passes], key[passes], c[passes]
-                    end = end[passes] if size < plan.steps else end
-        pointer = pointer + moves[step][c & 0xFF]
-        if size < plan.steps:
-            pointer = np.minimum(pointer, len(symbols) - 1)
+                    table = tables[plan.stages.index(n)]
+                    passes = np.flatnonzero(table.take(_places(key, len(table))))
+                    pointer, key, c = pointer[passes], key[passes], c[passes]
+                    alive = passes if alive is None else alive[passes]
+                    end = end[passes] if own else end
+        pointer += (c >> np.uint32(step) & np.uint32(1)).astype(np.int32)
     return stages if tables is None else (alive, key)
 
 
+def _table(keys: np.ndarray) -> np.ndarray:
+    """Whether a key may be one of `keys`, by its top bits."""
+    bits = min(max(len(keys).bit_length() + 4, 12), 24)
+    table = np.zeros(1 << bits, bool)
+    table[_places(keys, len(table))] = True
+    return table
+
+
+def _places(keys: np.ndarray, size: int) -> np.ndarray:
+    return (keys * _ODD >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
 class Items:
     """The items' walks and what the verification needs."""
 
     def __init__(self, items: list[tuple[object, str | None]]) -> None:
-        self.ids, self.text, self.masks = [], [], []
+        self.ids, self.text = [], []
         anchors: dict[tuple[int, int], list[tuple[int, int]]] = {}  # by plan and size
-        chars = []
-        for item, text in items:
-            ((_, _, own, _, _),) = list(normalized(pa.array([text or ""], pa.large_string()))) or [(0, 0, np.zeros(0, np.uint32), None, None)]
+        texts = pa.array([text or "" for _, text in items], pa.large_string())
+        own_texts = [chars[a:b] for _, _, chars, at, _ in normalized(texts) for a, b in zip(at[:-1], at[1:], strict=True)]
+        for (item, _), own in zip(items, own_texts, strict=True):
             own = own[:-1] if len(own) and own[-1] == 32 else own
             if not len(own):
                 continue
             k = len(self.ids)
             self.ids.append(item)
-            self.text.append(own.tolist())
-            chars.append(own)
+            self.text.append(own)
             n = next(n for n, plan in enumerate(PLANS) if len(own) >= plan.least)
             if len(own) < PLANS[n].steps:
                 anchors.setdefault((n, len(own)), []).append((k, 0))
@@ -154,49 +176,83 @@ class Items:
             if len(own) >= PLANS[n].steps and not len(room):
                 room = [0]
             anchors.setdefault((n, PLANS[n].steps), []).extend((k, int(q)) for q in room)
-        for own in self.text:
-            masks: dict[int, int] = {}
-            for i, c in enumerate(own):
-                masks[c] = masks.get(c, 0) | 1 << i
-            self.masks.append(masks)
-        self.walks = []  # (plan, size, repetition, tables of the stages, sorted keys, their items, their places)
+        self.sizes = np.array([len(t) for t in self.text], np.int64)
+        self.hits = np.array([next(p.hits for p in PLANS if m >= p.least) for m in self.sizes], np.int64)
+        gap = np.zeros(STEPS + 1, np.uint32)
+        every = np.concatenate([x for own in self.text for x in (own, gap)] or [gap])
+        first = np.cumsum(self.sizes + len(gap)) - self.sizes - len(gap)
+        self.walks = []  # (plan, size, repetition, keys of the earlier stages, sorted keys, their items, their places)
         for (n, size), own in anchors.items():
             plan = PLANS[n]
-            by_item: dict[int, list[int]] = {}
-            for k, q in own:
-                by_item.setdefault(k, []).append(q)
-            for repetition in range(plan.repetitions if size == plan.steps else OWN_REPETITIONS) if own else ():
-                parts = [walk(_symbols(chars[k]), np.array(q), repetition, size, plan=plan) for k, q in by_item.items()]
-                stages = [np.concatenate(p) for p in zip(*parts, strict=True)]
-                tables = []
-                for key in stages:
-                    table = np.zeros(1 << _TABLE, bool)
-                    table[key * _ODD >> np.uint64(64 - _TABLE)] = True
-                    tables.append(table)
+            flat = np.array(own, np.int64).reshape(-1, 2)
+            for repetition in range(min(plan.repetitions, OWN_REPETITIONS) if size < plan.steps else plan.repetitions) if len(flat) else ():
+                symbols = np.where(np.append(every, gap) > 0, _symbols(every, plan.seeds[repetition]), np.uint32(0))
+                stages = walk(symbols, first[flat[:, 0]] + flat[:, 1], repetition, size, plan)
                 order = np.argsort(stages[-1], kind="stable")
-                flat = np.array([(k, q) for k, places in by_item.items() for q in places])[order]
-                self.walks.append((plan, size, repetition, tables, stages[-1][order], flat[:, 0], flat[:, 1]))
-
-    def candidates(self, chars: np.ndarray, at: np.ndarray) -> set[tuple[int, int, int]]:
-        """(text, item, about where in the group the item would start)."""
-        symbols, starts = _symbols(chars), walk_starts(chars, at, 1)
-        found: set[tuple[int, int, int]] = set()
-        for plan, size, repetition, tables, keys, items, places in self.walks:
-            alive, key = walk(symbols, starts, repetition, size, tables, plan)
+                self.walks.append((plan, size, repetition, [np.unique(k) for k in stages[:-1]], stages[-1][order], flat[order, 0], flat[order, 1]))
+        self.tables = self.masks = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tables": None, "masks": None}  # a task makes its own
+
+    def mask(self, item: int) -> dict[int, int]:
+        """The places of each character in an item, as bits."""
+        if self.masks is None:
+            self.masks = {}
+        if item not in self.masks:
+            masks = self.masks[item] = {}
+            for i, c in enumerate(self.text[item].tolist()):
+                masks[c] = masks.get(c, 0) | 1 << i
+        return self.masks[item]
+
+    def candidates(self, chars: np.ndarray, at: np.ndarray, most_edits: float = MOST_EDITS) -> np.ndarray:
+        """Rows (text, item, about where in the group the item would start, in units of 32), in order."""
+        if self.tables is None:
+            self.tables = [[*map(_table, stages), _table(keys)] for _, _, _, stages, keys, _, _ in self.walks]
+        found = [np.zeros((4, 0), np.int64)]
+        for a, b in hashing.groups(at, _PIECE):
+            part = self._walked(chars[at[a] : at[b]], at[a : b + 1] - at[a])
+            part[0] += a
+            part[2] += at[a]
+            found.append(part)
+        text, item, first, place = np.concatenate(found, axis=1)
+        if not len(text):
+            return np.zeros((0, 3), np.int64)
+        order = np.lexsort((place, first, item, text))
+        text, item, first, place = text[order], item[order], first[order], place[order]
+        close = (text[1:] == text[:-1]) & (item[1:] == item[:-1]) & (place[1:] != place[:-1])
+        close &= first[1:] - first[:-1] <= np.maximum(most_edits * self.sizes[item[1:]] / 4, 3)
+        good = self.hits[item] < 2
+        good[1:] |= close
+        good[:-1] |= close
+        rows = np.stack([text[good], item[good], first[good] >> 5], axis=1)
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+        return rows[new]
+
+    def _walked(self, chars: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """(text, item, about where the item would start, place of the anchor in it) of the walks that an item has too."""
+        starts = walk_starts(chars, at, 1)
+        found = [np.zeros((4, 0), np.int64)]
+        seen: dict[int, np.ndarray] = {}
+        for (plan, size, repetition, _, keys, items, places), tables in zip(self.walks, self.tables, strict=True):
+            seed = int(plan.seeds[repetition])
+            if seed not in seen:
+                seen[seed] = _symbols(chars, plan.seeds[repetition])
+            alive, key = walk(seen[seed], starts, repetition, size, plan, tables)
             lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
             n = hi - lo
             which = np.repeat(np.arange(len(key)), n)
             entry = np.repeat(lo, n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
             position = starts[alive[which]]
-            text = np.searchsorted(at, position, "right") - 1
-            found.update(zip(text.tolist(), items[entry].tolist(), ((position - places[entry]) >> 5).tolist(), strict=True))
-        return found
+            found.append(np.stack([np.searchsorted(at, position, "right") - 1, items[entry], position - places[entry], places[entry]]))
+        return np.concatenate(found, axis=1)
 
     def near(self, found: np.ndarray, chars: np.ndarray, at: np.ndarray, most_edits: float) -> np.ndarray:
         """Which candidates hold their item: the verification's distance, for many windows at a time."""
         if len(found) < _FEW:
             return np.ones(len(found), bool)
-        size = np.array([len(t) for t in self.text])[found[:, 1]]
+        size = self.sizes[found[:, 1]]
         most = (most_edits * size + 1e-9).astype(np.int64)
         first = np.maximum(at[found[:, 0]], (found[:, 2] << 5) - most)
         last = np.minimum(at[found[:, 0] + 1], (found[:, 2] + 1 << 5) + size + most)
@@ -210,8 +266,8 @@ class Items:
     def _distances(self, items: np.ndarray, first: np.ndarray, last: np.ndarray, chars: np.ndarray) -> np.ndarray:
         """Least edit distance of each item to a substring of its window: Myers' bits in blocks of 64."""
         distinct, which = np.unique(items, return_inverse=True)
-        size = np.array([len(self.text[k]) for k in distinct])
-        letters = np.unique(np.concatenate([np.array(self.text[k], np.uint32) for k in distinct]))
+        size = self.sizes[distinct]
+        letters = np.unique(np.concatenate([self.text[k] for k in distinct]))
         blocks = int(size.max() + 63) // 64
         if len(distinct) > 1 and len(distinct) * blocks * len(letters) > 1 << 22:
             half = len(items) // 2
@@ -219,7 +275,7 @@ class Items:
         masks = np.zeros((len(letters) + 1, blocks, len(distinct)), np.uint64)  # the last letter is any other
         for n, k in enumerate(distinct):
             place = np.arange(size[n])
-            np.bitwise_or.at(masks, (np.searchsorted(letters, np.array(self.text[k], np.uint32)), place >> 6, n), np.uint64(1) << (place & 63).astype(np.uint64))
+            np.bitwise_or.at(masks, (np.searchsorted(letters, self.text[k]), place >> 6, n), np.uint64(1) << (place & 63).astype(np.uint64))
         one, top = np.uint64(1), np.uint64(63)
         plus, minus = np.full((blocks, len(items)), ~np.uint64(0)), np.zeros((blocks, len(items)), np.uint64)
         block, bit = (size[which] - 1) // 64, ((size[which] - 1) % 64).astype(np.uint64)
@@ -250,7 +306,7 @@ class Items:
     def matches(self, chars: np.ndarray, at: np.ndarray, most_edits: float = MOST_EDITS) -> dict[tuple[int, int], tuple[int, int, int]]:
         """(text, item): the least (distance, start, end), places counted in the group."""
         out: dict[tuple[int, int], tuple[int, int, int]] = {}
-        found = np.array(sorted(self.candidates(chars, at)), np.int64).reshape(-1, 3)
+        found = self.candidates(chars, at, most_edits)
         for text, item, about in found[self.near(found, chars, at, most_edits)].tolist():
             own = self.text[item]
             k = int(most_edits * len(own) + 1e-9)
@@ -259,7 +315,7 @@ class Items:
                 continue
             first = max(int(at[text]), (about << 5) - k)
             last = min(int(at[text + 1]), (about + 1 << 5) + len(own) + k)
-            got = located(own, self.masks[item], chars[first:last].tolist(), k)
+            got = located(own, self.mask(item), chars[first:last].tolist(), k)
             if got:
                 new = (got[0], got[1] + first, got[2] + first)
                 out[(text, item)] = min(best, new) if best else new
