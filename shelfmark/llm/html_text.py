@@ -2,10 +2,12 @@
 
 A page is cut into blocks at block-level tags. What the markup itself sets apart (menus, page headers and footers, asides,
 forms, scripts, hidden parts, and elements whose class, id or role names them as adverts, notices, comments and the like)
-is boilerplate. Pass one decides the other blocks: many link characters make a block bad; length, and outside of an article
-element also the density of stop words, make it good; short ones stay open. Pass two gives each open block the label of the
-nearest decided block of its part of the page, the earlier one at equal distance, headings that of the next one; with none decided, an article's blocks
-are good and others bad. Where a page has an article or main element with text, blocks outside of it are bad.
+is boilerplate. Pass one decides the other blocks: many link characters make a block bad; length and the density of stop
+words make it good. Where stop words say nothing (another script, or a page in none of the languages of STOP_WORDS), length
+and the mark that ends a sentence do; a character of a script without spaces counts for several. Short blocks and those of
+middling density stay open. Pass two gives each open block the label of the nearest decided block of its part of the page, the
+earlier one at equal distance, headings that of the next one; with none decided it is good if it is in an article, or if the
+page has none. Where a page has an article or main element with text, only long prose outside of it is good.
 
 Character references are decoded once; white space inside a block, line breaks too, becomes one space; blocks without text
 go; the rest is joined in page order by a newline. Null, empty and text-free pages give the empty text. Broken markup is
@@ -54,10 +56,13 @@ BAD_NAME_OUTSIDE = frozenset("header head logo search top".split())
 
 LONG, SHORT = 200, 70
 STOP_DENSITY, LINK_DENSITY = 0.2, 0.4
+#: What a character of a script without spaces counts; marks that end a sentence (fixed values).
+DENSE, SENTENCE_ENDS = 3, frozenset(".!?…。！？｡؟۔।॥։።")
 
 _TAG_END = re.compile(r"""[^"'>]*(?:"[^"]*"[^"'>]*|'[^']*'[^"'>]*)*>""")
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>]|$)""", re.I)
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]*/$")  # the slash belongs to a value
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _RAW_END = {name: re.compile(f"</{name}(?=[\\s/>])", re.I) for name in RAW}
@@ -168,7 +173,7 @@ def blocks(page: str) -> list[Block]:
                 close("p", True)
             if name in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 close(name, True)
-        if name in VOID or attributes.endswith("/") and name not in BLOCK:
+        if name in VOID or attributes.endswith("/") and name not in BLOCK and not _UNQUOTED.search(attributes):
             continue
         _, bad, article = stack[-1] if stack else ("", False, 0)
         if name in ("article", "main") and not article:
@@ -183,20 +188,40 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def stop_density(text: str) -> float:
+    words = [w.strip(".,;:!?()\"'#$%&*|").lower() for w in text.split()]
+    return sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+
+
+def script(text: str) -> tuple[int, bool]:
+    """(length, where a character of a script without spaces counts as DENSE, whether most letters are of a script other than Latin)."""
+    dense = sum(c >= "\u2e80" or "\u0e00" <= c < "\u10a0" or "\u1780" <= c < "\u1800" for c in text)
+    letters = sum(map(str.isalpha, text))
+    foreign = sum(c >= "\u0370" and c.isalpha() and not "\u1e00" <= c < "\u1f00" for c in text)
+    return len(text) + (DENSE - 1) * dense, 2 * foreign > letters
+
+
 def decided(found: list[Block]) -> list[bool]:
     """Whether each block belongs to the main text."""
     has_article = any(b.article and not b.bad for b in found)
+    density = [0.0 if b.bad else stop_density(b.text) for b in found]
+    known = any(d >= STOP_DENSITY and len(b.text) >= SHORT for b, d in zip(found, density, strict=True))
     label: list[bool | None] = []
-    for b in found:
-        n = len(b.text)
-        if b.bad or has_article and not b.article or b.linked > LINK_DENSITY * max(n, 1) or b.text[0] == "©":
+    for b, d in zip(found, density, strict=True):
+        if b.bad or b.linked > LINK_DENSITY * max(len(b.text), 1) or b.text[0] == "©":
             label.append(False)
+            continue
+        n, foreign = (len(b.text), False) if d >= STOP_DENSITY or b.text.isascii() else script(b.text)
+        mute = foreign or not known  # stop words say nothing
+        if n < SHORT:
+            good = None
         elif b.article:
-            label.append(True if n >= SHORT else None)
+            good = True if mute or d >= STOP_DENSITY / 2 else None
+        elif d >= STOP_DENSITY or mute and (n >= LONG or b.text[-1] in SENTENCE_ENDS):
+            good = True
         else:
-            words = [w.strip(".,;:!?()\"'#$%&*|").lower() for w in b.text.split()]
-            density = sum(w in STOP_WORDS for w in words) / len(words)
-            label.append(None if n < SHORT else True if density >= STOP_DENSITY else False if n < LONG or density < STOP_DENSITY / 2 else None)
+            good = None if mute or n >= LONG and d >= STOP_DENSITY / 2 else False
+        label.append(good if b.article or not has_article else bool(good) and n >= LONG)
     before, after = [None] * len(found), [None] * len(found)
     for order, near in ((range(len(found)), before), (range(len(found) - 1, -1, -1), after)):
         last: dict[int, int] = {}
@@ -212,7 +237,7 @@ def decided(found: list[Block]) -> list[bool]:
             continue
         p, q = before[k], after[k]
         best = p if q is None or p is not None and k - p <= q - k and not b.heading else q
-        out.append(bool(b.article) if best is None else label[best])
+        out.append(bool(b.article) or not has_article if best is None else label[best])
     return out
 
 

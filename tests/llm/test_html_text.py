@@ -5,6 +5,9 @@ from shelfmark.llm.html_text import extract
 
 LONG = "The thing of the water was in the house and it is for the people that are here with us on this day of the year, by the sea. " * 2
 L = LONG.strip()
+RUSSIAN = ("Вода в доме была холодной, и люди говорили о том, что зима придёт рано. " * 6).strip()
+CHINESE = "这里的水很冷，人们说冬天会来得很早，所以大家都在家里准备过冬的东西。" * 9
+ITALIAN = ("Nella casa vicino al mare abitavano quattro persone che parlavano sempre del tempo. " * 5).strip()
 
 
 @pytest.mark.parametrize(
@@ -22,6 +25,14 @@ L = LONG.strip()
         ("<article><p>ok</p></div></span><p title='>'>x</p><ul><li>a<li>b</ul></article><p>after", "ok\nx\na\nb"),
         ("<article><p title='open>x</p><p>y</p></article>", "x\ny"),
         ("<article>unclosed <b>bold <!-- to the end", "unclosed bold"),
+        (f"<div><ul><li><a href=/>Домой</a></li></ul><p>{RUSSIAN}</p></div>", RUSSIAN),
+        (f"<div><p>{CHINESE}</p><p>短。</p></div>", f"{CHINESE}\n短。"),
+        (f"<div><h1>Titolo</h1><p>{ITALIAN}</p><p>Fine.</p></div>", f"Titolo\n{ITALIAN}\nFine."),
+        ("<p>One line.", "One line."),
+        ("<body>bare text", "bare text"),
+        (f"<article><p>one</p></article><p>{L}</p><article><p>two</p></article><p>by them</p>", f"one\n{L}\ntwo"),
+        (f"<article><p>{L}</p></article><div><p>{RUSSIAN}</p></div><div>{'tag ' * 60}</div>", f"{L}\n{RUSSIAN}"),
+        (f"<article><p>{L}</p><p>{'x99 y-z ' * 12}</p></article>", f"{L}\n{('x99 y-z ' * 12).strip()}"),
     ],
 )
 def test_pages(page, text):
@@ -38,7 +49,7 @@ def test_rows(spark):
 
     rows = [(1, "u", "<article><p>é日</p></article>", 3), (1, None, None, 4), (None, "u", "<p>x", 5)]
     out = html_text(spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")).collect()
-    assert sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in out) == [(0, "u", "", 0), (1, "", "", 0), (1, "u", "é日", 2)]
+    assert sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in out) == [(0, "u", "x", 1), (1, "", "", 0), (1, "u", "é日", 2)]
     assert html_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
