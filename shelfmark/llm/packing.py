@@ -6,6 +6,7 @@ and so each document, its place in the one long run of all tokens. Pass two cuts
 a document that lies across a window's edge becomes several pieces, the boundary records. Only the last window is
 padded, unless its length happens to be a power of two.
 
+A string that the tokenizer's file lists as an added token has that token's id, as `tokenizers` gives it by default.
 Null and empty texts have the end id alone. Repeated rows and equal or null ids are packed as rows of their own.
 An empty table gives no pieces. Further columns of the input are ignored.
 """
@@ -67,14 +68,16 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
-            ranks = _byte_ranks(json.load(f))
+            config = json.load(f)
+        ranks, added = _byte_ranks(config), config.get("added_tokens", [])
+        #: Strings that the file gives an id of their own; a text that holds one is left to `tokenizers` whole.
+        self.special = re.compile("|".join(re.escape(x["content"]) for x in added) or "(?!)")
+        self.path, self.tokenizer = path, None
         if ranks:
             import tiktoken
 
-            size = max(ranks.values()) + 1
+            size = max([*ranks.values(), *(x["id"] for x in added)]) + 1
             core = tiktoken.Encoding("chunks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
             piece, whole = core.encode_single_piece, core.encode_ordinary
 
@@ -88,15 +91,22 @@ class ChunkEncoder:
 
             self.encode = encode
         else:
-            tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-            size = tokenizer.get_vocab_size()
-            self.encode = lambda chunk: tokenizer.encode(chunk, add_special_tokens=False).ids
+            from tokenizers import Tokenizer
+
+            size = Tokenizer.from_file(path).get_vocab_size()
+            self.encode = self._whole
         self.code = "H" if size <= 1 << 16 else "I"
         self.width = array(self.code).itemsize
         self.plain: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}  # of chunks that begin with one space, by what follows it
 
+    def _whole(self, text: str) -> list[int]:
+        from tokenizers import Tokenizer
+
+        if self.tokenizer is None:
+            self.tokenizer = Tokenizer.from_file(self.path)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _ids(self, known: dict[str, bytes], chunks: list[str], lead: str) -> bytes:
         try:
             return b"".join([known[c] for c in chunks])
@@ -112,7 +122,9 @@ class ChunkEncoder:
             self.spaced.clear()
         out = []
         for text in texts:
-            if _RUN.search(text):
+            if self.special.search(text):
+                out.append(array(self.code, self._whole(text)).tobytes())
+            elif _RUN.search(text):
                 out.append(self._ids(self.plain, _CHUNK.findall(text), ""))
             else:  # each space begins a run of its own
                 first, *rest = text.split(" ")

@@ -5,7 +5,7 @@ import pytest
 from shelfmark.llm import packing
 from shelfmark.llm.queries import tokenizer_path
 
-ODD = ["  a  b\n\n c\t\tx \x1c!\x1c b", "a\x85b \xa0 c", "\n", "", " ", "it's  the 'll  x ", "<|endoftext|> hi", "日本語 テスト 🎉🎉 x", "x \n y", "a b\nc. d's, (e) 12a."]
+ODD = ["  a  b\n\n c\t\tx \x1c!\x1c b", "a\x85b \xa0 c", "\n", "", " ", "it's  the 'll  x ", "<|endoftext|> hi", "a<|endoftext|>b  <|endoftext|><|endoftext|>\n c", "<|endoftext",  "日本語 テスト 🎉🎉 x", "x \n y", "a b\nc. d's, (e) 12a."]
 
 
 @pytest.fixture(scope="module")
@@ -13,7 +13,6 @@ def reference():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [0]
 
 
