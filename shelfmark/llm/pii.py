@@ -2,9 +2,10 @@
 
 The patterns find e-mail addresses, IP addresses, card and telephone numbers in their plain forms; these spans always stay.
 Around digits, at-signs and spelled-out at-signs and dots the text is cut into tokens. There the random field scores whole
-candidate spans (digit groups and their separators, check digit, cue word before, what stands next to the span) and a
-dynamic program over bounded spans chooses boundaries and types together; outside is the cheapest type. Spans that overlap
-one of the patterns' are not added. Weights are trained by gradient descent on sentences made here by a seeded
+candidate spans (digit groups and their separators, check digit, cue word before, what stands next to the span) and the step
+from one segment's type to the next's; a dynamic program over bounded spans (MOST_TOKENS, but for spelled-out addresses) and
+the type before chooses boundaries and types together; a token outside is a segment too. A spelled-out e-mail address is
+looked for up to AROUND characters on either side of its at-sign. Spans that overlap one of the patterns' are not added. Weights are trained by gradient descent on sentences made here by a seeded
 generator, so no personal data is learned; every text is scored whole.
 
 Null and empty texts have no spans. Repeated rows and equal or null ids stay rows of their own; an empty table gives no
@@ -29,6 +30,8 @@ from .common import prepare
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS = 24
+AROUND = 320  # the longest address there is has 254 characters
+OUTSIDE = "outside"
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -86,6 +89,8 @@ _NUMBER = re.compile(r"[+(]?[0-9][0-9 ().+-]*[0-9]")  # what may hold an IP addr
 _SIGN = r"(?:@|\s*[\[({<]\s*(?:at|AT)\s*[\])}>]\s*|\s+(?:at|AT)\s+)"
 _POINT = r"(?:\.|\s*[\[({<]\s*(?:dot|DOT)\s*[\])}>]\s*|\s+(?:dot|DOT)\s+)"
 _SPELLED = re.compile(rf"[A-Za-z0-9_%+-]+(?:{_POINT}[A-Za-z0-9_%+-]+){{0,3}}{_SIGN}[A-Za-z0-9-]+(?:{_POINT}[A-Za-z0-9-]+){{1,4}}")
+_GAP = r"\s*[\[({<]?\s*(?:\.|dot|DOT)\s*[\])}>]?\s*"
+_QUAD = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_GAP}[0-9]{{1,3}}){{3}}(?![0-9])")  # an IP address, its dots set apart or spelled out
 _HINT = re.compile(r"@|(?:[\[({<]\s*|\s)(?:at|AT)(?:\s*[\])}>]|\s)")
 _DOTS = re.compile(r"\.|dot|DOT")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.S)
@@ -128,18 +133,32 @@ def zones(text: str, taken: Taken) -> list[Span]:
         for m in _NUMBER.finditer(text):
             if m.end() - m.start() >= 7 and not taken.covers(*m.span()):
                 out.append(m.span())
+        for m in _QUAD.finditer(text):
+            if not taken.meets(*m.span()):
+                out.append(m.span())
     if ("at" in text or "AT" in text or "@" in text) and _DOTS.search(text):
         last = 0
         for hint in _HINT.finditer(text):
             if hint.start() < last:
                 continue
-            first = max(last, hint.start() - 120)
-            for m in _SPELLED.finditer(text, first, min(len(text), hint.end() + 200)):
+            first = max(last, hint.start() - AROUND)
+            for m in _SPELLED.finditer(text, first, min(len(text), hint.end() + AROUND)):
                 if m.end() > hint.start() and not taken.meets(*m.span()):
                     out.append(m.span())
                 last = max(last, m.end())
                 break
-    return sorted(out)
+    return _joined(out)
+
+
+def _joined(spans: list[Span]) -> list[Span]:
+    """Spans that overlap as one."""
+    out: list[Span] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 class Zone:
@@ -151,20 +170,24 @@ class Zone:
         cue = _WORD_BEFORE.search(text, max(0, start - 24), start)
         word = cue[1].lower() if cue else ""
         held = list(accumulate((taken.meets(*t) for t in self.tokens), initial=0))
-        spelled = _SPELLED.fullmatch(text, start, end) is not None
+        if _SPELLED.fullmatch(text, start, end):
+            if not held[-1]:
+                self.spans[0, len(self.tokens)] = {"email": email_features(text, start, end, word)}
+            return
         for i, (a, _) in enumerate(self.tokens):
-            if text[a].isspace() or text[a] in ").-":
+            if text[a].isspace() or text[a] in ").-]" or text[a].isalpha():
                 continue
             for j in range(i + 1, min(len(self.tokens), i + MOST_TOKENS) + 1):
                 b = self.tokens[j - 1][1]
-                if not text[b - 1].isalnum() or held[j] > held[i]:
+                if not text[b - 1].isdigit() or held[j] > held[i]:
                     continue
-                if spelled:
-                    if i == 0 and j == len(self.tokens):
-                        self.spans[i, j] = {"email": email_features(text, a, b, word)}
-                elif sum(c.isdigit() for c in text[a:b]) >= 7:
-                    own = number_features(text, a, b, word if i == 0 else "")
-                    self.spans[i, j] = {k: [f"{k}|{f}" for f in [*own, f"cue {word in CUES[k]}"]] for k in ("ip", "card", "phone")}
+                own, before = text[a:b], word if i == 0 else ""
+                quad = text[a].isdigit() and _QUAD.fullmatch(own)
+                number = _NUMBER.fullmatch(own) and sum(c.isdigit() for c in own) >= 7
+                if quad or number:
+                    features = number_features(text, a, b)
+                    kinds = (("ip",) if quad else ()) + (("card", "phone") if number else ())
+                    self.spans[i, j] = {k: [f"{k}|{f}" for f in [*features, f"cue {before in CUES[k]}"]] for k in kinds}
 
 
 def _edges(text: str, a: int, b: int) -> list[str]:
@@ -173,16 +196,17 @@ def _edges(text: str, a: int, b: int) -> list[str]:
     return [f"left {left.isalnum() or left in '_/$€#=&' and left != ''}", f"right {right.isalnum() or right in '_/%$€=' and right != ''}", f"goes on {len(more) == 2 and more[0] in '.-,:/' and more[1].isalnum()}", f"after {left in '.-,:/' and left != ''}"]
 
 
-def number_features(text: str, a: int, b: int, word: str) -> list[str]:
+def number_features(text: str, a: int, b: int) -> list[str]:
     """Of the whole span, whatever its kind."""
     own = text[a:b]
     groups = re.findall("[0-9]+", own)
     digits = "".join(groups)
-    gaps = sorted(set(re.sub("[0-9]", "", own)))
+    gaps = sorted(set(re.sub("[0-9]", "", own)) - set("dotDOT"))
     pattern = "-".join(str(min(len(g), 9)) for g in groups)
+    apart = sorted(set(re.findall("[^0-9]+", own))) if _QUAD.fullmatch(own) else ""
     return [
-        "any", f"digits {min(len(digits), 20)}", f"groups {pattern if len(groups) < 6 else 'many'}", f"gaps {''.join(gaps)}", f"luhn {len(digits) in range(16, 20) and luhn(digits)}",
-        f"starts {own[0] if own[0] in '+(' else ''}", f"quad {len(groups) == 4 and gaps == ['.'] and all(int(g[:4]) <= 255 and len(g) <= 3 for g in groups)}",
+        "any", f"apart {apart}", f"digits {min(len(digits), 20)}", f"groups {pattern if len(groups) < 6 else 'many'}", f"gaps {''.join(gaps)}", f"luhn {len(digits) in range(16, 20) and luhn(digits)}",
+        f"starts {own[0] if own[0] in '+(' else ''}", f"quad {bool(_QUAD.fullmatch(own))} {all(len(g) <= 3 and int(g) <= 255 for g in groups)}",
         f"brackets {own.count('(') == own.count(')')}", f"double {bool(re.search('[ .-]{3}', own))}", f"year {bool(re.match('(19|20)[0-9][0-9][-. ]', own))}", *_edges(text, a, b),
     ]
 
@@ -201,61 +225,88 @@ def email_features(text: str, a: int, b: int, word: str) -> list[str]:
 # --- the random field ----------------------------------------------------------------------------------------------
 
 
+def _step(before: str, after: str) -> str:
+    """The feature of one segment's type after another's."""
+    return f"{before}>{after}"
+
+
+def _segments(zone: Zone, weights: dict[str, float]) -> tuple[list[list[tuple]], list[str]]:
+    """(the segments that end at each token: (start, type, features, score), the types there are)."""
+    ends: list[list[tuple]] = [[] for _ in range(len(zone.tokens) + 1)]
+    for j in range(1, len(ends)):
+        ends[j].append((j - 1, OUTSIDE, (), 0.0))
+    kinds = {OUTSIDE}
+    for (i, j), own in zone.spans.items():
+        for kind, features in own.items():
+            kinds.add(kind)
+            ends[j].append((i, kind, features, sum(weights.get(f, 0.0) for f in features)))
+    return ends, sorted(kinds)
+
+
 def decode(zone: Zone, weights: dict[str, float]) -> list[tuple[str, int, int]]:
-    """The best cover of the zone by typed spans and outside tokens."""
-    n = len(zone.tokens)
-    ends = defaultdict(list)
-    for (i, j), kinds in zone.spans.items():
-        for kind, features in kinds.items():
-            score = sum(weights.get(f, 0.0) for f in features)
-            if score > 0:
-                ends[j].append((i, kind, score))
-    best, back = [0.0] * (n + 1), [None] * (n + 1)
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for i, kind, score in ends[j]:
-            if best[i] + score > best[j]:
-                best[j], back[j] = best[i] + score, (i, kind)
-    out, j = [], n
-    while j:
-        if back[j]:
-            i, kind = back[j]
+    """The best segmentation of the zone into typed spans and outside tokens."""
+    if not zone.spans:
+        return []
+    ends, _ = _segments(zone, weights)
+    best: list[dict[str, tuple]] = [{OUTSIDE: (0.0, None)}, *({} for _ in zone.tokens)]
+    for j in range(1, len(best)):
+        for i, kind, _, score in ends[j]:
+            for before, (value, _) in best[i].items():
+                new = value + score + weights.get(_step(before, kind), 0.0)
+                if kind not in best[j] or new > best[j][kind][0]:
+                    best[j][kind] = (new, (i, before))
+    out, j = [], len(zone.tokens)
+    kind = max(best[j], key=lambda k: (best[j][k][0], k == OUTSIDE))
+    while best[j][kind][1]:
+        i, before = best[j][kind][1]
+        if kind != OUTSIDE:
             out.append((kind, zone.tokens[i][0], zone.tokens[j - 1][1]))
-            j = i
-        else:
-            j -= 1
+        j, kind = i, before
     return out[::-1]
 
 
-def _add(a: float, b: float) -> float:
-    return max(a, b) + log(1 + exp(-abs(a - b)))
+def _log_sum(values: list[float]) -> float:
+    most = max(values)
+    return most + log(sum(exp(v - most) for v in values))
 
 
 def gradient(zone: Zone, gold: set[tuple[int, int, str]], weights: dict[str, float]) -> tuple[float, dict[str, float]]:
-    """(log-likelihood of the gold spans, its gradient) by the forward and backward sums over all segmentations."""
+    """(log-likelihood of the gold segmentation, its gradient) by the forward and backward sums over all segmentations."""
+    ends, kinds = _segments(zone, weights)
     n = len(zone.tokens)
-    spans = [(i, j, kind, features, sum(weights.get(f, 0.0) for f in features)) for (i, j), kinds in zone.spans.items() for kind, features in kinds.items()]
-    ends, starts = defaultdict(list), defaultdict(list)
-    for s in spans:
-        ends[s[1]].append(s)
-        starts[s[0]].append(s)
-    forward, backward = [0.0] * (n + 1), [0.0] * (n + 1)
+    step = {(p, k): weights.get(_step(p, k), 0.0) for p in kinds for k in kinds}
+    forward: list[dict[str, float]] = [{OUTSIDE: 0.0}, *({} for _ in range(n))]
     for j in range(1, n + 1):
-        forward[j] = forward[j - 1]
-        for i, _, _, _, score in ends[j]:
-            forward[j] = _add(forward[j], forward[i] + score)
+        sums: dict[str, list[float]] = defaultdict(list)
+        for i, kind, _, score in ends[j]:
+            sums[kind] += [value + step[p, kind] + score for p, value in forward[i].items()]
+        forward[j] = {k: _log_sum(v) for k, v in sums.items()}
+    starts: list[list[tuple]] = [[] for _ in range(n + 1)]
+    for j in range(1, n + 1):
+        for i, kind, features, score in ends[j]:
+            starts[i].append((j, kind, features, score))
+    backward: list[dict[str, float]] = [{} for _ in range(n)] + [dict.fromkeys(kinds, 0.0)]
     for i in range(n - 1, -1, -1):
-        backward[i] = backward[i + 1]
-        for _, j, _, _, score in starts[i]:
-            backward[i] = _add(backward[i], backward[j] + score)
+        backward[i] = {p: _log_sum([backward[j][k] + step[p, k] + score for j, k, _, score in starts[i]]) for p in kinds}
+    total = backward[0][OUTSIDE]
     out: dict[str, float] = defaultdict(float)
-    value = -forward[n]
-    for i, j, kind, features, score in spans:
-        p = exp(min(0.0, forward[i] + score + backward[j] - forward[n]))
-        hit = (i, j, kind) in gold
-        value += score * hit
-        for f in features:
-            out[f] += hit - p
+    for j in range(1, n + 1):
+        for i, kind, features, score in ends[j]:
+            for p, value in forward[i].items():
+                share = exp(min(0.0, value + step[p, kind] + score + backward[j][kind] - total))
+                out[_step(p, kind)] -= share
+                for f in features:
+                    out[f] -= share
+    value, at, before = -total, 0, OUTSIDE
+    spans = {i: (j, k) for i, j, k in gold if (i, j) in zone.spans and k in zone.spans[i, j]}
+    while at < n:
+        j, kind = spans.get(at, (at + 1, OUTSIDE))
+        features = zone.spans[at, j][kind] if kind != OUTSIDE else ()
+        for f in (_step(before, kind), *features):
+            out[f] += 1
+            value += weights.get(f, 0.0)
+        at, before = j, kind
+    out.pop(_step(OUTSIDE, OUTSIDE), None)  # the scale is free: this step weighs nothing
     return value, out
 
 
@@ -282,17 +333,25 @@ def examples(n: int, seed: int = 9) -> Iterator[tuple[str, list[tuple[str, int,
         local = rng.choice((word(), f"{word()}.{word()}", f"{word()}{digits(2)}"))
         return f"{local}{at}{host}" if at != "@" or dot != "." else f"{local} [at] {host}"
 
+    def ip() -> str:
+        gap = rng.choice(("[.]", " . ", "(.)", " [.] ", " dot ", "[dot]", "(dot)", " [dot] ", ". ", " DOT "))
+        gaps = [gap if rng.random() < 0.8 else "." for _ in range(2)] + [gap]
+        rng.shuffle(gaps)
+        parts = [str(rng.choice((rng.randrange(256), rng.randrange(10), 10, 192, 168))) for _ in range(4)]
+        return parts[0] + "".join(g + p for g, p in zip(gaps, parts[1:], strict=True))
+
     def other() -> str:
         y = rng.choice(("19", "20")) + digits(2)
         return rng.choice(
             (f"{y}-{digits(2)}-{digits(2)}", f"{digits(2)}.{digits(2)}.{y}", digits(rng.randrange(7, 16)), digits(16), f"{digits(16)}", f"{digits(3)}.{digits(3)}.{digits(3)}.{digits(3)}.{digits(2)}", f"{y} {y} {y}",
              f"978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", f"{digits(1)}.{digits(4)}-{digits(3)}", f"${digits(3)} {digits(3)} {digits(3)}", f"{digits(2)} - {digits(3)} - {digits(4)}", f"{digits(4)}-{digits(4)}-{digits(4)}-{digits(4)}",
-             f"{word()} at {word()}. {word().capitalize()}", f"{word()} at {word()}.{word()}", f"{word()} at the dot of {word()}", f"x{digits(8)}y", f"{digits(9)}{word()}{digits(9)}", f"{digits(5)} {digits(5)}", f"{digits(8)}.{digits(6)}")
+             f"{word()} at {word()}. {word().capitalize()}", f"{word()} at {word()}.{word()}", f"{word()} at the dot of {word()}", f"x{digits(8)}y", f"{digits(9)}{word()}{digits(9)}", f"{digits(5)} {digits(5)}", f"{digits(8)}.{digits(6)}",
+             ". ".join(digits(rng.randrange(1, 3)) for _ in range(rng.randrange(4, 7))), " . ".join(str(rng.randrange(300, 999)) for _ in range(4)), ". ".join(str(k) for k in range(1, 5)), f"{digits(1)}.{digits(1)}. {digits(1)}.{digits(1)}")
         )
 
-    makers = {"card": card, "phone": phone, "email": email}
+    makers = {"card": card, "phone": phone, "email": email, "ip": ip}
     for _ in range(n):
-        kind = rng.choice(("card", "phone", "email", "", "", ""))
+        kind = rng.choice(("card", "phone", "email", "ip", "", "", "", ""))
         middle = makers[kind]() if kind else other()
         cue = rng.choice(sorted(CUES[kind])) if kind and rng.random() < 0.3 else word()
         left = f"{word()} {cue}{rng.choice((' ', ': ', ' '))}"
@@ -300,7 +359,7 @@ def examples(n: int, seed: int = 9) -> Iterator[tuple[str, list[tuple[str, int,
         yield left + middle + right, [(kind, len(left), len(left) + len(middle))] if kind else []
 
 
-def trained(n: int = 1500, epochs: int = 4, rate: float = 0.3, penalty: float = 1e-4) -> dict[str, float]:
+def trained(n: int = 2000, epochs: int = 4, rate: float = 0.3, penalty: float = 1e-4) -> dict[str, float]:
     """Weights by feature: gradient ascent on the likelihood, each weight's step shrinking with its own gradients."""
     data = []
     for text, spans in examples(n):

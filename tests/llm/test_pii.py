@@ -57,6 +57,28 @@ def test_plain_text_is_left_alone(weights):
         assert pii.shown(pii.all_spans(text, weights)[1]) == ""
 
 
+def test_addresses_spelled_out(weights):
+    for text, own in {"server 192.168.1[.]1 is up": "192.168.1[.]1", "ip 10[.]20[.]0[.]1": "10[.]20[.]0[.]1", "host 172 dot 16 dot 3 dot 200 ok": "172 dot 16 dot 3 dot 200", "from 10 . 24 . 0 . 18, it": "10 . 24 . 0 . 18"}.items():
+        at = text.index(own)
+        assert pii.all_spans(text, weights)[1]["ip"] == [(at, at + len(own))], text
+    for text in ("999 . 300 . 400 . 500", "see 1. 2. 3. 4 of the list", "sections 3.1. 3.2. 3.3"):
+        assert pii.shown(pii.all_spans(text, weights)[1]) == "", text
+    long = "john.smith99 [at] mail [dot] example [dot] co [dot] uk"
+    assert pii.all_spans(f"to {long} now", weights)[1]["email"] == [(3, 3 + len(long))]
+
+
+def test_gradient_against_differences(weights):
+    text = "ip 10[.]20[.]0[.]18 call (212) 555-0147 4111.1111.1111.1111"
+    own = dict(weights)
+    for span in pii.zones(text, pii.Taken([])):
+        zone = pii.Zone(text, *span, pii.Taken([]))
+        gold = {(i, j, k) for (i, j), kinds in sorted(zone.spans.items())[:1] for k in kinds if k != "phone"}
+        _, grads = pii.gradient(zone, gold, own)
+        for f in sorted(grads, key=lambda f: -abs(grads[f]))[:8]:
+            values = [pii.gradient(zone, gold, own | {f: own.get(f, 0.0) + d})[0] for d in (1e-4, -1e-4)]
+            assert abs((values[0] - values[1]) / 2e-4 - grads[f]) < 1e-3, f
+
+
 def test_decoding_and_gradient_against_all_segmentations(weights):
     text = "call (212) 555-0147 4111.1111.1111.1111"
     (span,) = pii.zones(text, pii.Taken([]))
@@ -69,7 +91,12 @@ def test_decoding_and_gradient_against_all_segmentations(weights):
     for r in range(4):
         for some in itertools.combinations(spans, r):
             if all(a[1] <= b[0] or b[1] <= a[0] for a, b in itertools.combinations(some, 2)):
-                scores.append((sum(s[3] for s in some), some))
+                at, before, total = 0, pii.OUTSIDE, 0.0
+                starts = {s[0]: s for s in some}
+                while at < len(zone.tokens):
+                    _, to, kind, score = starts.get(at, (at, at + 1, pii.OUTSIDE, 0.0))
+                    total, at, before = total + score + weights.get(f"{before}>{kind}", 0.0), to, kind
+                scores.append((total, some))
     best = max(scores, key=lambda x: x[0])
     got = pii.decode(zone, weights)
     assert {(k, a, b) for k, a, b in got} == {(k, zone.tokens[i][0], zone.tokens[j - 1][1]) for i, j, k, _ in best[1]}
