@@ -26,6 +26,8 @@ from .common import prepare
 BINS, BITS = 256, 4
 #: Steps of a bin's own random sequence; what is still empty then takes the next filled bin around the circle.
 STEPS = 512
+#: Ids that are sampled for each range.
+SAMPLED = 50
 _SEQUENCE = np.random.default_rng(5).integers(0, BINS, (STEPS, BINS))
 
 
@@ -91,34 +93,48 @@ def fingerprint(docs: DataFrame, column: str = "text") -> DataFrame:
     return docs.mapInArrow(add, schema)
 
 
+def _cuts(ids: DataFrame, n: int) -> list:
+    """Up to n - 1 ids that cut the table into ranges of about the same size: quantiles of a sample of some SAMPLED ids a range."""
+    rows = ids.count()
+    if n < 2 or not rows:
+        return []
+    found = sorted(r.doc_id for r in ids.filter(F.col("doc_id").isNotNull() & (F.rand(5) < min(1.0, SAMPLED * n / rows))).collect())
+    return sorted({found[k * len(found) // n] for k in range(1, n)}) if found else []
+
+
 def neighbours(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """(doc_id, text, p, guest): rows in order of id, each range followed by the row after it; after the last comes the first.
 
-    Ids are dealt into ranges; the first document of each range is also sent, as a guest, to the range before it. So no
-    task sees more than its range and one row. Only the ids' quantiles and the ranges' first ids reach the driver.
+    Ids of any type that has an order are dealt into ranges, a task each; the first document of each range is also sent, as a
+    guest, to the range before it. So no task sees more than its range and one row. Only the sampled ids and the ranges'
+    first ids reach the driver; where the ranges are cut doesn't change the result.
     """
-    spark = docs.sparkSession
-    n = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
     ids = docs.select("doc_id")
-    cuts = sorted(set(ids.approxQuantile("doc_id", [k / n for k in range(1, n)], 1 / (4 * n)))) if n > 1 else []
-    edges = F.array(*[F.lit(int(c)).cast("bigint") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    of = F.size(F.filter(edges, lambda c: c <= F.col("doc_id")))
+    n = ranges or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    cuts = _cuts(ids, n)
+    edges = F.array(*[F.lit(c).cast(kind) for c in cuts]) if cuts else F.array().cast(f"array<{kind}>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))]) if cuts else F.array().cast("array<int>")
+    # how many edges are not above the id, by halving
+    of = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(edges, at + step - 1) <= F.col("doc_id"), at + step).otherwise(at))
     firsts = {r.p: r.first for r in ids.select(of.alias("p"), "doc_id").groupBy("p").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"))).alias("first")).collect()}
     if not firsts:
         return docs.select("doc_id", "text", F.lit(0).alias("p"), F.lit(0).alias("guest"))
     parts = sorted(firsts)
     back = {p: parts[k - 1] for k, p in enumerate(parts)}  # the first's goes to the last
-    first_of = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(firsts[p].id).cast("bigint").alias("id"), F.lit(back[p]).alias("to")) for p in parts])
+    row = lambda p: F.struct(F.lit(firsts[p].id if p in firsts else None).cast(kind).alias("id"), F.lit(back.get(p)).cast("int").alias("to"))
+    first_of = F.array(*[row(p) for p in range(parts[-1] + 1)])
     dealt = docs.select("doc_id", "text", of.alias("p"))
     own = dealt.withColumn("guest", F.lit(0))
     guests = (
-        dealt.withColumn("g", F.get(F.filter(first_of, lambda x: (x["p"] == F.col("p")) & x["id"].eqNullSafe(F.col("doc_id"))), F.lit(0)))
-        .filter("g is not null")
+        dealt.withColumn("g", F.get(first_of, F.col("p")))
+        .filter(F.col("g.to").isNotNull() & F.col("g.id").eqNullSafe(F.col("doc_id")))
         .groupBy("p", "doc_id", F.col("g.to").alias("to"))
         .agg(F.min(F.struct(F.col("text").isNotNull(), F.col("text"))).alias("least"))
         .select("doc_id", F.col("least.text").alias("text"), F.col("to").alias("p"), F.lit(1).alias("guest"))
     )
-    return own.unionByName(guests).repartition(n, "p").sortWithinPartitions("p", "guest", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    both = own.unionByName(guests).repartitionById(max(parts[-1] + 1, 1), "p")
+    return both.sortWithinPartitions("p", "guest", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
 
 def op_schema(docs: DataFrame) -> str:

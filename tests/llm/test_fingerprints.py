@@ -74,3 +74,11 @@ def test_empty_table_and_one_row(spark):
     assert fingerprints.compared(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     (row,) = fingerprints.compared(spark.createDataFrame([(1, "abcd")], "doc_id bigint, text string")).collect()
     assert row.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and row.near_next == 1
+
+
+def test_ids_of_other_types(spark):
+    rows = [("a%d" % (k % 7), f"text {k} of the row") for k in range(20)] + [(None, "x"), ("é", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    some = [f"{r.doc_id} {r.edited_sha256}" for r in fingerprints.compared(docs, ranges=5).collect()]
+    one = [f"{r.doc_id} {r.edited_sha256}" for r in fingerprints.compared(docs, ranges=1).collect()]
+    assert sorted(some) == sorted(one) and len(one) == 22
