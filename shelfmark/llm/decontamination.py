@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import prepare
+from .common import filtered, prepare
 
 MOST_EDITS = 0.2
 #: Items that go to a task at a time; more are taken in blocks, each against all documents.
@@ -40,8 +40,8 @@ LONG_RUN, ITEM_EVERY = 16, 4
 _UNSPACED = np.array([[0xE00, 0x10A0], [0x1780, 0x1800], [0x2E80, 0xAC00], [0xF900, 0xFB00], [0x20000, 0x40000]], np.uint32)
 #: Fewer candidates are verified one by one; of more, so many together.
 _FEW, _TOGETHER = 32, 1024
-#: Bytes of text that are verified together, and characters that are walked over together.
-_GROUP, _PIECE = 6 << 20, 1 << 18
+#: Characters that are walked over together.
+_PIECE = 1 << 18
 
 
 def walk_starts(chars: np.ndarray, at: np.ndarray, every: int) -> np.ndarray:
@@ -91,7 +91,7 @@ _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000
 def normalized(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first, last, characters, offsets, place of each character in its group's texts) of groups of texts."""
     data, offsets = hashing.buffers(texts)
-    for a, b in hashing.groups(offsets, _GROUP):
+    for a, b in hashing.groups(offsets):
         points, at = hashing.code_points(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower=True)
         space = _SPACE[np.minimum(points, 0x3001)]
         again = np.zeros(len(points), bool)
@@ -248,19 +248,18 @@ class Items:
             found.append(np.stack([np.searchsorted(at, position, "right") - 1, items[entry], position - places[entry], places[entry]]))
         return np.concatenate(found, axis=1)
 
-    def near(self, found: np.ndarray, chars: np.ndarray, at: np.ndarray, most_edits: float) -> np.ndarray:
-        """Which candidates hold their item: the verification's distance, for many windows at a time."""
-        if len(found) < _FEW:
-            return np.ones(len(found), bool)
-        size = self.sizes[found[:, 1]]
-        most = (most_edits * size + 1e-9).astype(np.int64)
-        first = np.maximum(at[found[:, 0]], (found[:, 2] << 5) - most)
-        last = np.minimum(at[found[:, 0] + 1], (found[:, 2] + 1 << 5) + size + most)
-        out = np.zeros(len(found), bool)
-        order = np.lexsort((found[:, 1], size))
+    def _near(self, items: np.ndarray, windows: list[np.ndarray], most_edits: float) -> np.ndarray:
+        """Which windows hold their item: the verification's distance, for many windows at a time."""
+        if len(items) < _FEW:
+            return np.ones(len(items), bool)
+        size = self.sizes[items]
+        last = np.cumsum([len(w) for w in windows])
+        first, chars = np.append(0, last[:-1]), np.concatenate(windows)
+        out = np.zeros(len(items), bool)
+        order = np.lexsort((items, size))
         for k in range(0, len(order), _TOGETHER):
             own = order[k : k + _TOGETHER]
-            out[own] = self._distances(found[own, 1], first[own], last[own], chars) <= most[own]
+            out[own] = self._distances(items[own], first[own], last[own], chars) <= most_edits * size[own] + 1e-9
         return out
 
     def _distances(self, items: np.ndarray, first: np.ndarray, last: np.ndarray, chars: np.ndarray) -> np.ndarray:
@@ -303,22 +302,42 @@ class Items:
             np.minimum(best, score, out=best)
         return best
 
-    def matches(self, chars: np.ndarray, at: np.ndarray, most_edits: float = MOST_EDITS) -> dict[tuple[int, int], tuple[int, int, int]]:
-        """(text, item): the least (distance, start, end), places counted in the group."""
-        out: dict[tuple[int, int], tuple[int, int, int]] = {}
-        found = self.candidates(chars, at, most_edits)
-        for text, item, about in found[self.near(found, chars, at, most_edits)].tolist():
-            own = self.text[item]
-            k = int(most_edits * len(own) + 1e-9)
+    def _verify(self, waiting: list[tuple], most_edits: float, out: dict[tuple[int, int], tuple[int, int, int]]) -> None:
+        """Puts the nearest places of (text, item, characters of a window, their places) into out."""
+        near = self._near(np.array([w[1] for w in waiting], np.int64), [w[2] for w in waiting], most_edits) if waiting else ()
+        for k in np.flatnonzero(near).tolist():
+            text, item, chars, places = waiting[k]
             best = out.get((text, item))
             if best and best[0] == 0:
                 continue
-            first = max(int(at[text]), (about << 5) - k)
-            last = min(int(at[text + 1]), (about + 1 << 5) + len(own) + k)
-            got = located(own, self.mask(item), chars[first:last].tolist(), k)
+            got = located(self.text[item], self.mask(item), chars.tolist(), int(most_edits * len(self.text[item]) + 1e-9))
             if got:
-                new = (got[0], got[1] + first, got[2] + first)
+                new = (got[0], int(places[got[1]]), int(places[got[2] - 1]) + 1)
                 out[(text, item)] = min(best, new) if best else new
+        waiting.clear()
+
+    def _windows(self, chars: np.ndarray, at: np.ndarray, places: np.ndarray, most_edits: float) -> Iterator[tuple]:
+        for text, item, about in self.candidates(chars, at, most_edits).tolist():
+            k = int(most_edits * self.sizes[item] + 1e-9)
+            first, last = max(int(at[text]), (about << 5) - k), min(int(at[text + 1]), (about + 1 << 5) + int(self.sizes[item]) + k)
+            yield text, item, chars[first:last].copy(), places[first:last].copy()
+
+    def matches(self, chars: np.ndarray, at: np.ndarray, most_edits: float = MOST_EDITS) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """(text, item): the least (distance, start, end), places counted in the group."""
+        out: dict[tuple[int, int], tuple[int, int, int]] = {}
+        self._verify(list(self._windows(chars, at, np.arange(len(chars)), most_edits)), most_edits, out)
+        return out
+
+    def search(self, texts: pa.Array, most_edits: float = MOST_EDITS) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """(text, item): the least (distance, start, end), places counted in the text's code points."""
+        out: dict[tuple[int, int], tuple[int, int, int]] = {}
+        waiting: list[tuple] = []
+        for a, _, chars, at, place in normalized(texts):
+            for text, item, own, places in self._windows(chars, at, place, most_edits):
+                waiting.append((a + text, item, own, places - place[at[text]]))
+                if len(waiting) >= 2 * _TOGETHER:
+                    self._verify(waiting, most_edits, out)
+        self._verify(waiting, most_edits, out)
         return out
 
 
@@ -346,7 +365,7 @@ def _scan(masks: dict[int, int], m: int, text, anchored: bool) -> tuple[int, int
     return best, end
 
 
-def located(item: list[int], masks: dict[int, int], text: list[int], most: int) -> tuple[int, int, int] | None:
+def located(item: np.ndarray, masks: dict[int, int], text: list[int], most: int) -> tuple[int, int, int] | None:
     """(distance, start, end) of the nearest substring of text, if within `most` edits."""
     m = len(item)
     distance, end = _scan(masks, m, text, False)
@@ -374,11 +393,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, most_edits: float = MOST_EDITS,
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows, ids = [], batch.column("doc_id").to_pylist()
-                for a, b, chars, at, place in normalized(batch.column("text")):
-                    data_start = place[at]
-                    for (text, item), (distance, start, end) in shared.value.matches(chars, at, most_edits).items():
-                        rows.append((ids[a + text], shared.value.ids[item], distance, int(place[start] - data_start[text]), int(place[end - 1] + 1 - data_start[text])))
+                ids = batch.column("doc_id").to_pylist()
+                rows = [(ids[text], shared.value.ids[item], *found) for (text, item), found in shared.value.search(batch.column("text"), most_edits).items()]
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field("doc_id").type), *(pa.array(c, pa.int64()) for c in columns[1:])], ["doc_id", "item_id", "distance", "start", "end"])
 
@@ -388,23 +404,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, most_edits: float = MOST_EDITS,
 
 
 def _one(f):
-    return lambda batches: f(batches)
+    return lambda x: f(x)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, most_edits: float = MOST_EDITS, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The rows of docs that hold no item."""
     prepare(docs.sparkSession)
-    schema = docs.schema
     for items in _blocks(benchmark, block_items):
         shared = docs.sparkSession.sparkContext.broadcast(items)  # block_items items at most
 
-        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                good = np.ones(batch.num_rows, bool)
-                for a, _, chars, at, _ in normalized(batch.column("text")):
-                    for text, _ in shared.value.matches(chars, at, most_edits):
-                        good[a + text] = False
-                yield batch.filter(pa.array(good))
+        def keep(texts: pa.Array, shared=shared) -> np.ndarray:
+            good = np.ones(len(texts), bool)
+            good[[text for text, _ in shared.value.search(texts, most_edits)]] = False
+            return good
 
-        docs = docs.mapInArrow(_one(keep), schema)
+        docs = filtered(docs, _one(keep))
     return docs

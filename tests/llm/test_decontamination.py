@@ -187,3 +187,10 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert D.leaks(docs, none).count() == 0 and D.clean(docs, none).count() == 1
     assert D.leaks(docs.limit(0), none).count() == 0
+
+
+def test_clean_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "abc", "u", 2.5), (2, None, "v", None)], "doc_id bigint, text string, `q``u.o te` string, item_id double")
+    bench = spark.createDataFrame([(1, "something else that is longer")], "item_id bigint, text string")
+    out = D.clean(docs, bench)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [(1, "abc", "u", 2.5), (2, None, "v", None)]
