@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from shelfmark.llm import decontamination, jaccard_join, language_id, line_dedup, packing
 from shelfmark.llm.common import read, staged
@@ -15,9 +14,7 @@ LEAST_SCORE = 0.3
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that have a language."""
-    names = "language_found", "language_score"
-    kept = language_id.labelled(docs, language_id.trained(docs), names).filter((F.col(names[0]) != language_id.UNKNOWN) & (F.col(names[1]) >= LEAST_SCORE))
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+    return language_id.accepted(docs, language_id.trained(docs), LEAST_SCORE)
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,9 +31,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or a temporary one of our own where that is unset."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`; in local mode, where that is unset, a temporary one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = getattr(spark.sparkContext, "_shelfmark_shared", None)
         if not found:
             found = "file://" + tempfile.mkdtemp(prefix="shelfmark-")
@@ -85,15 +89,46 @@ def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.R
         before += batch.num_rows
 
 
-def with_row_key(docs: DataFrame) -> DataFrame:
-    """Adds row_file and row_index, which name a row alike in every later scan, however the scan is split among tasks.
+def with_row_key(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """The given columns (all, if none is given), row_file and row_index, which name a row alike in every later scan, however the scan is split among tasks.
 
-    Two columns of Parquet's own metadata; a table that isn't a plain scan of files is staged first.
+    The keys are two columns of Parquet's own metadata; a table that isn't a plain scan of files is staged first. Callers whose
+    tables may have columns of these names ask for `whole(docs)`, one struct of all columns.
     """
     keys = [F.xxhash64("_metadata.file_path").alias("row_file"), F.col("_metadata.row_index").alias("row_index")]
-    if "row_file" in docs.columns or "row_index" in docs.columns:
-        raise ValueError("row_file and row_index are this function's own columns")
+    return plain(docs).select(*(columns or ("*",)), *keys)
+
+
+def plain(docs: DataFrame) -> DataFrame:
+    """docs as a plain scan of Parquet files: itself, or staged. Whoever takes row keys of a table twice takes them of this."""
     try:
-        return docs.select("*", *keys)
+        docs.select("_metadata.row_index")
+        return docs
     except AnalysisException:
-        return staged(docs, "rows").select("*", *keys)
+        return staged(docs, "rows")
+
+
+def whole(docs: DataFrame, *left_out: str) -> Column:
+    """All columns but those left out, whatever their names, as one struct `row`."""
+    return F.struct(F.lit(0).alias("_"), *[F.col(_quoted(c)).alias(f"c{k}") for k, c in enumerate(docs.columns) if c not in left_out]).alias("row")
+
+
+def unfolded(keyed: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of docs again, from the struct `row`; some changed."""
+    return keyed.select(*[changed[c].alias(c) if c in changed else F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
+def filtered(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray], column: str = "text") -> DataFrame:
+    """The rows whose text `keep` says true of; it gets an Arrow array. All columns, whatever their names, stay as they are."""
+    place = docs.columns.index(column)
+    numbers = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # Python functions take no name that holds a point or a quote
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(place)), pa.bool_()))
+
+    return numbers.mapInArrow(rows, numbers.schema).toDF(*docs.columns)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import prepare, staged, with_row_key
+from .common import plain, prepare, staged, unfolded, whole, with_row_key
 from .components import components
 
 THRESHOLD, SHINGLE = 0.8, 5
@@ -229,11 +229,11 @@ def compared(keyed: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK)
 
 def jaccard_join(docs: DataFrame, **options) -> DataFrame:
     """doc_id, class_id and n_links of each document."""
-    return compared(with_row_key(docs.select("doc_id", "text")), **options).select("doc_id", "class_id", "n_links")
+    return compared(with_row_key(docs, "doc_id", "text"), **options).select("doc_id", "class_id", "n_links")
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that come first in their class: the least id, or of equal ids the first row."""
-    keyed = with_row_key(docs)
-    gone = compared(keyed, **options).filter(~F.col("first")).select("row_file", "row_index")
-    return keyed.join(gone, ["row_file", "row_index"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    docs = plain(docs)
+    gone = compared(with_row_key(docs, "doc_id", "text"), **options).filter(~F.col("first")).select("row_file", "row_index")
+    return unfolded(with_row_key(docs, whole(docs)).join(gone, ["row_file", "row_index"], "left_anti"), docs)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import prepare, remainder
+from .common import filtered, prepare, remainder
 
 BITS, ORDERS = 16, (1, 2, 3)
 SCALE = 40.0
@@ -173,14 +173,26 @@ def labelled(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred
     prepare(docs.sparkSession)
     docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights a language
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes), f"`{names[0]}` string", f"`{names[1]}` double"])
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, scores = shared.value.predict(batch.column("text"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores)], [*batch.schema.names, *names])
 
-    schema = ", ".join([f"`{n}` {t}" for n, t in docs.dtypes] + [f"`{names[0]}` string", f"`{names[1]}` double"])
-    return docs.mapInArrow(predict, schema)
+    return docs.mapInArrow(add, schema)
+
+
+def accepted(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows whose text is of a known language with a score of `least` or more; all columns as they are."""
+    prepare(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights a language
+
+    def keep(texts: pa.Array) -> np.ndarray:
+        found, scores = shared.value.predict(texts)
+        return (scores >= least) & np.array([f != UNKNOWN for f in found], bool)
+
+    return filtered(docs, keep)
 
 
 def language_id(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:

@@ -5,6 +5,8 @@ documents is counted by hash, anti-joined with the keys that the runs have settl
 documents: no more counting is needed), and what is left is added as a run of level 0. When a level has `fanout` runs,
 they are compacted into one run of the next level. A key's documents are the sum over the runs.
 
+Lines are joined with the settled keys; a document of more than FEW common lines has its lines looked up by a join, too.
+
 A line's key is the line without ASCII white space at both ends, A-Z in lower case; its hash has 128 bits. Lines whose
 key has a code point or more and is in `min_docs` documents or more leave every document; an empty key never goes.
 A null or empty text is one empty line. Repeated rows count as documents of their own, null and equal ids alike. An
@@ -18,10 +20,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, unstage, with_row_key
+from .common import staged, unfolded, unstage, whole, with_row_key
 
 MIN_DOCS = 10
 BATCHES, FANOUT = 4, 3
+#: A document with more common lines has its lines joined with them.
+FEW = 100
+#: At most so many row keys are broadcast.
+MOST_ROWS = 100_000
 _SPACE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -91,34 +97,58 @@ class LineRuns:
             level += 1
 
 
-def marked(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """docs with two more columns: all_lines, and lines, those that stay."""
-    keyed = with_row_key(docs)
+def kept_lines(keyed: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+    """keyed: (row_file, row_index, text) and perhaps more. All of it without the text, with n_lines and lines, those that stay."""
+    texts = keyed.select("row_file", "row_index", "text")
     batch = F.pmod(F.xxhash64("row_file", "row_index"), F.lit(batches)).cast("int")
-    lines = staged(line_hashes(keyed).withColumn("batch", batch), "lines", partition_by="batch")
+    lines = staged(line_hashes(texts).withColumn("batch", batch), "lines", partition_by="batch")
     index = LineRuns(min_docs, fanout)
     for k in range(batches):
         index.add(lines.filter(F.col("batch") == k))
-    hits = lines.join(index.settled(), ["a", "b"]).groupBy("row_file", "row_index").agg(F.collect_list("a").alias("gone"))
-    every = keyed.withColumn("all_lines", lines_of(F.col("text"))).join(hits, ["row_file", "row_index"], "left")
+    settled = staged(index.settled(), "settled")  # a scan on each side: the join broadcasts it if small, or splits its common keys
+    hits = staged(lines.join(settled, ["a", "b"]).groupBy("row_file", "row_index").agg(F.collect_list("a").alias("gone")), "hits")
+    hits = _with_wide(texts, hits)
+    every = keyed.join(hits.hint("merge"), ["row_file", "row_index"], "left")  # hits grow with the texts
+    every = every.withColumn("all", lines_of(F.col("text")))
     stays = lambda line: ~F.array_contains(F.col("gone"), F.xxhash64(line_key(line)))
-    kept = F.when(F.col("gone").isNull(), F.col("all_lines")).otherwise(F.filter("all_lines", stays))
-    return every.withColumn("lines", kept).drop("row_file", "row_index", "gone")
+    lines = F.when(F.col("own").isNotNull(), F.col("own.line")).when(F.col("gone").isNotNull(), F.filter("all", stays)).otherwise(F.col("all"))
+    return every.withColumn("lines", lines).withColumn("n_lines", F.size("all").cast("long")).drop("text", "all", "gone", "own")
+
+
+def _with_wide(texts: DataFrame, hits: DataFrame) -> DataFrame:
+    """hits with one more column, own: what stays of a document of many common lines, each line with its position.
+
+    Such a document's lines are looked up by a join; an array of common lines would be read through for each line.
+    """
+    own, key = "array<struct<pos: int, line: string>>", ["row_file", "row_index"]
+    wide = hits.filter(F.size("gone") > FEW)
+    n = wide.count()
+    if not n:
+        return hits.withColumn("own", F.lit(None).cast(own))
+    rows = wide.select(*key)
+    lines = texts.join(F.broadcast(rows) if n <= MOST_ROWS else rows, key, "left_semi")
+    lines = lines.select(*key, F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).withColumn("a", F.xxhash64(line_key(F.col("line"))))
+    stay = lines.join(wide.select(*key, F.explode("gone").alias("a")), [*key, "a"], "left_anti")
+    stay = stay.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("own"))
+    placed = wide.select(*key).join(stay, key, "left").select(*key, F.lit(None).cast("array<bigint>").alias("gone"), F.coalesce("own", F.array().cast(own)).alias("own"))
+    return hits.filter(F.size("gone") <= FEW).withColumn("own", F.lit(None).cast(own)).unionByName(placed)
 
 
 def line_dedup(docs: DataFrame, **options: int) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept_sha256 of each document."""
-    kept = F.array_join("lines", "\n")
-    n = F.size("all_lines").cast("long")
-    return marked(docs.select("doc_id", "text"), **options).select("doc_id", n.alias("n_lines"), (n - F.size("lines")).alias("n_dropped"), F.sha2(kept, 256).alias("kept_sha256"))
+    kept = kept_lines(with_row_key(docs, "doc_id", "text"), **options)
+    dropped = F.col("n_lines") - F.size("lines")
+    return kept.select("doc_id", "n_lines", dropped.alias("n_dropped"), F.sha2(F.array_join("lines", "\n"), 256).alias("kept_sha256"))
 
 
 def deduplicated(docs: DataFrame, **options: int) -> DataFrame:
     """docs with what stays of each text; n_chars, if there, follows."""
-    out = marked(docs, **options)
+    kept = kept_lines(with_row_key(docs, whole(docs, "text", "n_chars"), "text"), **options)
     text = F.array_join("lines", "\n")
-    columns = {"text": text, "n_chars": F.length(text).cast(dict(docs.dtypes).get("n_chars", "bigint"))}
-    return out.select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns])
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return unfolded(kept, docs, **changed)
 
 
 ORACLE_SQL = f"""

@@ -84,3 +84,12 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(200, 100), (100, 100)], "u bigint, v bigint")
     out = dict(components.components(edges).collect())
     assert out == {k: 0 for k in range(61)} | {100: 100, 200: 100}
+
+
+def test_no_name_of_a_column_clashes(spark):
+    names = ["row_file", "row_index", "row", "a", "b", "copies", "head", "root", "first", "class_id", "n_links", "q`u.o te"]
+    schema = "doc_id bigint, text string, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in names)
+    rows = [(k, "one two three four five six seven" if k % 2 else f"w{k} x y z a b c", *(f"{c} {k}" for c in names)) for k in range(5)]
+    out = jaccard_join.deduplicated(spark.createDataFrame(rows, schema))
+    assert out.columns == ["doc_id", "text", *names]
+    assert sorted(map(tuple, out.collect())) == [r for r in rows if r[0] != 3]

@@ -61,3 +61,17 @@ def test_penalty_leaves_weights_out():
         model.learn(np.arange(51), x, int(x[0] > 0))
     w = model.weights()
     assert (w[1, 0] - w[0, 0]) > 1 and (w[:, 1:50] == 0).mean() > 0.5
+
+
+def test_accepted_keeps_columns_of_any_name(spark):
+    names = ["language_found", "language_score", "lang_pred", "score", "q`u.o te"]
+    schema = "doc_id bigint, text string, lang string, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in names)
+    rows = [(k, ("the cat and the dog " if k % 2 else "der hund und das haus ") * 9, "en" if k % 2 else "de", *(f"{c} {k}" for c in names)) for k in range(40)]
+    rows += [(50, "123 !!", None, *names), (51, None, None, *names)]
+    docs = spark.createDataFrame(rows, schema)
+    model = language_id.trained(docs)
+    out = language_id.accepted(docs, model, 0.3)
+    assert out.columns == ["doc_id", "text", "lang", *names]
+    assert sorted(map(tuple, out.collect())) == rows[:40]
+    more = language_id.labelled(docs.drop("q`u.o te"), model)
+    assert more.columns == ["doc_id", "text", "lang", "language_found", "language_score", "lang_pred", "score"]

@@ -1,4 +1,5 @@
 import hashlib
+import time
 from collections import Counter
 
 from shelfmark.llm import line_dedup
@@ -38,3 +39,24 @@ def test_texts_and_other_columns_stay(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert line_dedup.line_dedup(docs).count() == 0
+
+
+CLASHING = ["row_file", "row_index", "row", "lines", "all", "gone", "own", "n_lines", "a", "b", "batch", "docs", "x", "pos", "line", "all_lines", "q`u.o te"]
+
+
+def test_no_name_of_a_column_clashes(spark):
+    schema = "doc_id bigint, text string, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in CLASHING)
+    rows = [(k, f"own {k}\nshared", *(f"{c} {k}" for c in CLASHING)) for k in range(4)]
+    out = line_dedup.deduplicated(spark.createDataFrame(rows, schema), min_docs=3)
+    assert out.columns == ["doc_id", "text", *CLASHING]
+    assert sorted(map(tuple, out.collect())) == [(r[0], r[1].split("\n")[0], *r[2:]) for r in rows]
+
+
+def test_documents_of_many_common_lines(spark):
+    common = [f"common {k}" for k in range(30_000)]
+    texts = ["\n".join([*common[k:], f"own {k}", *common[:k], "x"]) for k in range(0, 10)] + ["\n".join(common), "nothing\ncommon 7", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    began = time.time()
+    out = line_dedup.line_dedup(docs).collect()
+    assert sorted((r.n_lines, r.n_dropped, r.kept_sha256) for r in out) == brute(texts, 10)
+    assert time.time() - began < 60
