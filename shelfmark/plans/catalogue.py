@@ -220,10 +220,18 @@ def top5_with_more(spark, sf_dir):
 
 _KEY = "regexp_replace(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), '^(the|a|an) ', '')"
 _VERDICTS = f"""i AS (SELECT o_orderkey AS item_id, o_orderpriority AS tab, {_KEY.format("CASE WHEN o_orderkey % 4 = 0 THEN 'The ' || p_name || ' (copy)' WHEN o_orderkey % 11 = 0 THEN '!' ELSE p_name || CASE WHEN o_orderkey % 3 = 0 THEN ' x' ELSE '' END END").replace("lower(", "lower(regexp_replace(", 1).replace(" END END)", " END END, ' [(]copy[)]', ''))", 1)} AS key
+      , CASE o_orderkey % 5 WHEN 0 THEN 'annlee' WHEN 1 THEN '' ELSE 'boking' END AS author, CASE WHEN o_orderkey % 13 = 0 THEN CAST(o_orderkey % 200 + 2 AS VARCHAR) ELSE '' END AS isbn
       FROM orders JOIN part ON p_partkey = o_orderkey % 200 + 1),
-    l AS (SELECT {_KEY.format('p_name')} AS key, count(*) AS n FROM part GROUP BY 1),
-    v AS (SELECT item_id, tab, CASE WHEN n > 0 THEN 'likely' WHEN i.key = '' THEN 'skipped' ELSE 'clear' END AS verdict, coalesce(n, 0) AS likely, CAST(0 AS BIGINT) AS look
-      FROM i LEFT JOIN l ON i.key = l.key AND i.key <> '')"""
+    l AS (SELECT {_KEY.format('p_name')} AS key, CASE p_partkey % 3 WHEN 0 THEN 'annlee' WHEN 1 THEN 'boking' ELSE '' END AS author, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE '' END AS isbn, count(*) AS n FROM part GROUP BY 1, 2, 3),
+    ik AS (SELECT DISTINCT key, author, isbn FROM i), ki AS (SELECT DISTINCT key FROM i), kl AS (SELECT DISTINCT key FROM l),
+    ins AS (SELECT ki.key AS k, kl.key AS inside FROM ki JOIN kl ON ki.key <> kl.key AND contains(kl.key, ' ') AND len(list_distinct(string_split(kl.key, ' '))) >= 2 AND list_has_all(string_split(ki.key, ' '), string_split(kl.key, ' '))),
+    h AS (SELECT ik.key, ik.author, ik.isbn, l.key AS rk, l.author AS ra, l.isbn AS ri, n, CASE WHEN ik.author = '' OR l.author = '' OR ik.author = l.author THEN 2 ELSE 1 END AS strength FROM ik JOIN l ON ik.key = l.key AND ik.key <> ''
+      UNION ALL SELECT ik.key, ik.author, ik.isbn, l.key, l.author, l.isbn, n, 2 FROM ik JOIN l ON ik.isbn = l.isbn AND ik.isbn <> ''
+      UNION ALL SELECT ik.key, ik.author, ik.isbn, l.key, l.author, l.isbn, n, 1 FROM ik JOIN ins ON ins.k = ik.key JOIN l ON l.key = ins.inside),
+    g AS (SELECT key, author, isbn, rk, ra, ri, n, max(strength) AS strength FROM h GROUP BY ALL),
+    s AS (SELECT key, author, isbn, CAST(sum(CASE WHEN strength = 2 THEN n ELSE 0 END) AS BIGINT) AS likely, CAST(sum(CASE WHEN strength = 1 THEN n ELSE 0 END) AS BIGINT) AS look FROM g GROUP BY 1, 2, 3),
+    v AS (SELECT item_id, tab, CASE WHEN likely > 0 THEN 'likely' WHEN look > 0 THEN 'look' WHEN key = '' AND isbn = '' THEN 'skipped' ELSE 'clear' END AS verdict, coalesce(likely, 0) AS likely, coalesce(look, 0) AS look
+      FROM i LEFT JOIN s USING (key, author, isbn))"""
 
 
 def _screened(spark, sf_dir):
@@ -232,8 +240,13 @@ def _screened(spark, sf_dir):
     plain = F.concat("p_name", F.when(k % 3 == 0, " x").otherwise(""))
     title = F.when(k % 4 == 0, F.concat(F.lit("The "), "p_name", F.lit(" (copy)"))).when(k % 11 == 0, "!").otherwise(plain)
     items = table(spark, sf_dir, "orders").join(part, F.col("p_partkey") == k % 200 + 1)
-    items = items.select(k.alias("item_id"), F.col("o_orderpriority").alias("tab"), title.alias("title"), F.lit("").alias("author"))
-    return screen.verdicts(items, rows(spark, sf_dir).select(F.col("id").alias("row_id"), "title", F.lit("").alias("author")))
+    author = F.when(k % 5 == 0, "Ann Lee").when(k % 5 == 1, "").otherwise("Bo King")
+    isbn = F.when(k % 13 == 0, (k % 200 + 2).cast("string")).otherwise("")
+    items = items.select(k.alias("item_id"), F.col("o_orderpriority").alias("tab"), title.alias("title"), author.alias("author"), isbn.alias("isbn"))
+    n = F.col("p_partkey")
+    by = F.when(n % 3 == 0, "Ann Lee").when(n % 3 == 1, "Bo King").otherwise("")
+    listed = part.select(n.alias("row_id"), F.col("p_name").alias("title"), by.alias("author"), F.when(n % 2 == 0, n.cast("string")).otherwise("").alias("isbn"))
+    return screen.verdicts(items, listed)
 
 
 @query(f"WITH {_VERDICTS} SELECT * FROM v")

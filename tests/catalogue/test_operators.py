@@ -58,6 +58,16 @@ def test_rank_and_cut(spark):
     assert sorted(r.row_id for r in rank.cut(placed, 2).collect()) == [0, 2, 4, 6]  # no group is split
 
 
+def test_screening_by_isbn_and_titles_inside(spark):
+    items = [(1, "A", "The Red Knot and other tales", "Someone", None), (2, "A", "", None, "9780374371524"), (3, "A", "Knot red", "", ""), (4, "A", "A knot", "", ""), (4, "A", "A knot", "", ""), (5, "A", None, None, None)]
+    rows = [(1, "Red Knot", "Writer", ""), (2, "Red Knot", "Writer", ""), (3, "Other", "", "9780374371524"), (4, "Knot", "", "")]
+    found = screen.verdicts(
+        spark.createDataFrame(items, "item_id int, tab string, title string, author string, isbn string"),
+        spark.createDataFrame(rows, "row_id int, title string, author string, isbn string"),
+    )
+    assert sorted((r.item_id, r.verdict, r.likely, r.look) for r in found.collect()) == [(1, "look", 0, 2), (2, "likely", 1, 0), (3, "look", 0, 2), (4, "likely", 1, 0), (4, "likely", 1, 0), (5, "skipped", 0, 0)]
+
+
 def test_screening(spark):
     items = [(1, "A", "The Knot (copies)", ""), (2, "A", "knot", "Someone"), (3, "B", "!!", ""), (4, "B", "Other", ""), (5, "B", "Knot", "Writer")]
     found = screen.verdicts(
