@@ -33,10 +33,10 @@ from . import hashing
 from .common import numbered, prepare, remainder, staged, with_row_key
 
 END = b"\n"  # no word holds white space
-VOCABULARY, FREQUENT = 1500, 400_000
+VOCABULARY, FREQUENT = 1500, 300_000
 #: A word needs so many occurrences to be learnt; a stream holds words in two bytes each.
-LEAST_COUNT, MOST_WORDS = 500, 8_000
-HIDDEN, WINDOW, LANES, LEAST_STEPS = 24, 20, 256, 50
+LEAST_COUNT, MOST_WORDS = 500, 6_000
+HIDDEN, WINDOW, LANES, LEAST_STEPS = 20, 20, 256, 50
 SHARD_TOKENS = 300_000
 #: The share of the training texts that each round learns from; from round to round the weights are averaged.
 ROUNDS, RATE = (0.125, 0.25, 0.625), 0.1
@@ -426,8 +426,9 @@ def trained(words: DataFrame, look: Lookup) -> Gru:
         learn = _lesson(words.sparkSession.sparkContext.broadcast(model), int(end), RATE)
         own = dealt.filter((F.col("place") >= begin) & (F.col("place") < begin + share))
         own = own.withColumn("shard", F.least(F.floor((F.col("place") - begin) / share * shards), F.lit(shards - 1)))
-        learned, k = own.repartition(shards, "shard").groupBy("shard").applyInPandas(learn, _WEIGHTS), shards
-        while k > averaged:
+        learned, k, levels = own.repartition(shards, "shard").groupBy("shard").applyInPandas(learn, _WEIGHTS), shards, 0
+        while k > averaged or not levels:  # once in any case, so that the driver gets few
+            levels += 1
             learned, k = learned.groupBy(F.floor(F.col("shard") / averaged).alias("level")).applyInPandas(_mean(averaged), _WEIGHTS), ceil(k / averaged)
         found = learned.toPandas()  # `averaged` sets of weights at most
         begin += share

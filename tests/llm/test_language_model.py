@@ -116,7 +116,7 @@ def test_every_training_text_is_learnt_from_once(spark, monkeypatch):
     words = lm.encoded(lm.with_row_key(docs), look)
     assert words.agg({"n_tokens": "sum"}).first()[0] == look.n
     passes = []
-    monkeypatch.setattr(lm, "_averaged", lambda frame: passes.append(int(frame["n"].sum())) or frame)
+    monkeypatch.setattr(lm, "_averaged", lambda frame, averaged=0: passes.append(int(frame["n"].sum())) or frame)
     lm.trained(words.select("row_file", "row_index", "words"), look)
     assert sum(passes) == look.n and len(passes) == len(lm.ROUNDS) and min(passes) > 0
 
