@@ -6,7 +6,7 @@ letters; the first or second letter), so that no plan compares every word with e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,23 +38,26 @@ def alternate_hits(asked: DataFrame, posted: DataFrame) -> DataFrame:
 
 
 def prefix_hits(asked: DataFrame, posted: DataFrame) -> DataFrame:
-    """The last word of each query as the beginning of longer terms; three letters at least."""
+    """The last word of each query as the beginning of longer terms; three letters at least. Distinct terms meet the words, postings only what is found."""
     typed = asked.filter(F.col("last") & (F.length("word") >= 3)).withColumn("start", F.substring("word", 1, 3))
     longer = F.col("term").startswith(F.col("word")) & (F.length("term") > F.length("word"))
-    return typed.join(posted.withColumn("start", F.substring("term", 1, 3)), "start").filter(longer).select("query_id", "unit", "row_id", "field", "wi", F.lit("prefix").alias("kind"))
+    terms = typed.join(posted.select("term").distinct().withColumn("start", F.substring("term", 1, 3)), "start").filter(longer).select("query_id", "unit", "term")
+    return terms.join(posted, "term").select("query_id", "unit", "row_id", "field", "wi", F.lit("prefix").alias("kind"))
 
 
 def near_terms(words: DataFrame, vocabulary: DataFrame, plain_levenshtein: bool = False) -> DataFrame:
     """(word, term, edits) within the budget of the shorter one; both start alike in the first or the second letter.
 
-    words: (word); vocabulary: (term). The join is on distinct words, never on postings, and blocks on (place, letter).
+    words: (word); vocabulary: (term). The join is on distinct words, never on postings, and blocks on (place, letter, length).
     """
 
-    def keyed(df: DataFrame, name: str) -> DataFrame:
+    def keyed(df: DataFrame, name: str, lengths: Column) -> DataFrame:
         letters = F.array(*[F.struct(F.lit(p).alias("place"), F.substring(name, p, 1).alias("letter")) for p in (1, 2)])
-        return df.filter(F.length(name) >= 4).select(name, F.explode(letters).alias("k")).select(name, "k.place", "k.letter").filter("letter <> ''")
+        return df.filter(F.length(name) >= 4).select(name, F.explode(lengths).alias("n"), letters.alias("all")).select(name, "n", F.explode("all").alias("k")).select(name, "n", "k.place", "k.letter").filter("letter <> ''")
 
-    pairs = keyed(words.select("word").distinct(), "word").join(keyed(vocabulary.select("term").distinct(), "term"), ["place", "letter"])
+    n = F.length("word")
+    around = F.sequence(n - budget(n), n + budget(n))  # the shorter one's budget is no larger
+    pairs = keyed(words.select("word").distinct(), "word", around).join(keyed(vocabulary.select("term").distinct(), "term", F.array(F.length("term"))), ["n", "place", "letter"])
     most = budget(F.least(F.length("word"), F.length("term")))
     near = pairs.filter((F.abs(F.length("word") - F.length("term")) <= most) & (F.col("word") != F.col("term"))).select("word", "term", most.alias("most")).distinct()
     bound = near.withColumn("plain", F.levenshtein("word", "term", 4)).filter((F.col("plain") >= 0) & (F.col("plain") <= F.col("most") * 2))  # alignment counts a swap once, Levenshtein twice
