@@ -117,7 +117,7 @@ def search_fuzzy_levenshtein_block(spark, sf_dir):
     return match.near_terms(words, words.select(F.col("word").alias("term")), plain_levenshtein=True)
 
 
-@query()
+@query(_NEAR.format(w0=_WORDS.format("text"), w1=_WORDS.format("text")).replace("levenshtein", "damerau_levenshtein"))
 def search_fuzzy_osa(spark, sf_dir):
     words = table(spark, sf_dir, "benchmark").select(F.explode(native.words(F.col("text"))).alias("word")).distinct()
     return match.near_terms(words, words.select(F.col("word").alias("term")))

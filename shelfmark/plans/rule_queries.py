@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import folding, isbn, native
-from ..operators import index, match, quality, rules
+from ..operators import find, index, match, quality, rules
 from .catalogue import _ISBNS, _POSTED, _TIERS, _UNITS, _WORDS, _isbns, asked, posted, query, rows, table, tiered_search
 
 _GROUPS = f"k AS (SELECT p_partkey AS row_id, array_to_string(list_sort({_WORDS.format('p_name')}), ' ') AS group_key FROM part)"
@@ -131,3 +131,34 @@ def list_problems(spark, sf_dir):
     own = table(spark, sf_dir, "events").select(F.col("event_type").alias("tab"), F.col("event_id").alias("row"), F.col("user_id").cast("string").alias("fingerprint"), codes.alias("codes"))
     wanted = own.select("tab").distinct().unionByName(spark.sql("SELECT 'missing tab' AS tab"))
     return quality.problems(own, wanted)
+
+
+@query()
+def whole_search(spark, sf_dir):
+    """All rules of the search at once; by SQL its parts are checked, as a whole the tests do."""
+    return find.search(asked(spark), find.build(rows(spark, sf_dir)))
+
+
+@query(f"""WITH {_ISBNS}, q AS (SELECT p_partkey AS query_id, thirteen AS t FROM i WHERE p_partkey % 100 = 0), s AS (SELECT p_partkey AS query_id, left(ten, 7) AS t FROM i WHERE p_partkey % 100 = 0)
+    SELECT query_id, i.p_partkey AS row_id, CAST(3 AS INTEGER) AS tier FROM q JOIN i ON i.thirteen = q.t
+    UNION SELECT -query_id - 1, i.p_partkey, CAST(2 AS INTEGER) FROM s JOIN i ON starts_with(i.ten, s.t) OR starts_with(i.thirteen, s.t)""")
+def isbn_search(spark, sf_dir):
+    """Whole ISBNs of the other form within a text, and (query ids below zero) the first digits of others."""
+    own = _isbns(spark, sf_dir)
+    some = own.filter("p_partkey % 100 = 0")
+    whole = some.select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("is ISBN "), "thirteen", F.lit(" listed?")).alias("text"))
+    begun = some.select((-F.col("p_partkey") - 1).alias("query_id"), F.substring("ten", 1, 7).alias("text"))
+    return find.isbn_hits(whole.unionByName(begun), own.select(F.col("p_partkey").alias("row_id"), F.col("ten").alias("isbn")))
+
+
+_BENCHMARK = f"SELECT DISTINCT unnest({_WORDS.format('text')}) AS term FROM benchmark"
+
+
+@query(f"""WITH t AS ({_BENCHMARK}), w AS (SELECT DISTINCT substr(term, 1, length(term) - 3) AS word FROM t WHERE length(term) >= 7),
+    p AS (SELECT word, term FROM w, t WHERE length(term) > length(word) AND NOT starts_with(term, word)) SELECT word, term FROM p
+    WHERE least(damerau_levenshtein(word, left(term, length(word) - 1)), damerau_levenshtein(word, left(term, length(word))), damerau_levenshtein(word, left(term, length(word) + 1))) <= 1""")
+def search_near_starts(spark, sf_dir):
+    """Words that are being typed, and the longer ones that begin as they do but for one edit."""
+    terms = table(spark, sf_dir, "benchmark").select(F.explode(native.words(F.col("text"))).alias("term")).distinct()
+    typed = terms.filter(F.length("term") >= 7).select(F.substring("term", F.lit(1), F.length("term") - 3).alias("word")).distinct()
+    return find.near_starts(typed, terms)
