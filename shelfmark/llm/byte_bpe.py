@@ -22,6 +22,7 @@ import json
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -46,6 +47,7 @@ _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u30
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 _RUN = re.compile(f"[{_WS}] ")
 _SPLIT = regex.compile(PATTERN)
+_RARE = re.compile("[^\\0-\u024f]")  # no character up to here is young
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -70,7 +72,7 @@ def _stand_in(c: str) -> str:
 
 def split(text: str) -> list[str]:
     """The matches of the pattern, which cover the text."""
-    plain = text if text.isascii() else "".join(map(_stand_in, text))
+    plain = "".join(map(_stand_in, text)) if _RARE.search(text) else text
     found = _SPLIT.findall(plain)
     if plain == text:
         return found
@@ -94,7 +96,7 @@ class Dictionary:
             codes = self.codes
             for c in chunks:
                 if c not in known:
-                    known[c] = np.array([codes.setdefault(w, len(codes)) for w in split(lead + c)], "<i4").tobytes()
+                    known[c] = array("i", [codes.setdefault(w, len(codes)) for w in split(lead + c)]).tobytes()
             return b"".join([known[c] for c in chunks])
 
     def coded(self, text: str) -> bytes:
@@ -138,7 +140,7 @@ def cut(docs: DataFrame) -> DataFrame:
             yield from dictionary()
 
     schema = f"block bigint, doc_ids array<{doc_type}>, sizes array<int>, codes binary, first int, words array<binary>"
-    return staged(docs.select("doc_id", "text").mapInArrow(rows, schema), "words")
+    return staged(docs.select("doc_id", "text").mapInArrow(rows, schema), "words", bucket_by="block")
 
 
 # --- the fold ------------------------------------------------------------------------------------------------------

@@ -43,10 +43,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Writes `df` as Parquet to the shared folder and reads it again: lineage ends there, and any executor may be lost."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+def staged(df: DataFrame, name: str, partition_by: str | None = None, bucket_by: str | None = None) -> DataFrame:
+    """Writes `df` as Parquet to the shared folder and reads it again: lineage ends there, and any executor may be lost.
+
+    A table in buckets of a column is dealt out by it already when it is joined or grouped.
+    """
+    mark = uuid.uuid4().hex[:12]
+    path = f"{shared_dir(df.sparkSession)}/{name}-{mark}"
     writer = df.write.mode("overwrite")
+    if bucket_by:
+        buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        writer.bucketBy(buckets, bucket_by).option("path", path).saveAsTable(f"{name}_{mark}")
+        return df.sparkSession.table(f"{name}_{mark}")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._shelfmark_path = path
