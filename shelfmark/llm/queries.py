@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontamination, fingerprints, html_text, jaccard_join, language_id, language_model, line_dedup, packing, periodic_runs, pii, quality
+from . import byte_bpe, decontamination, divergence, fingerprints, html_text, jaccard_join, language_id, language_model, line_dedup, packing, periodic_runs, pii, quality
 from .common import read
 
 
@@ -63,6 +63,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.html_text(read(spark, sf_dir, "pages"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.periodic_runs(read(spark, sf_dir, "documents"))
 
@@ -82,11 +86,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_pii": op9_pii,
     "op10_html_text": op10_html_text,
+    "op11_divergence": op11_divergence,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_divergence": divergence.ORACLE_SQL,
     "op12_periodic_runs": periodic_runs.ORACLE_SQL,
 }
