@@ -7,6 +7,9 @@ FORMAT = (
 ).split()
 QUESTION = "is are was can could may banned ban allowed permitted prohibited".split()
 ROLE = "jr sr dr mr sir dame prof rev author authors editor editors ed illustrator illustrators translator translators".split()
+ASKING = "i we use read teach class ok okay appropriate suitable".split()
+PUBLISHER = "company press publisher publishers books inc".split()
+SERIES_DESCRIBED = "saga chronicles complete adventures stories mystery mysteries tales novels".split()
 PLACEHOLDER = (
     "unknown unknownauthor anonymous anon various variousauthors variousartists multipleauthors noauthor unknownartist unknownartists na none nil "
     "notknown notlisted notstated notavailable tbd tba"
