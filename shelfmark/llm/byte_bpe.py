@@ -2,8 +2,8 @@
 
 1. `cut` splits every text by the fixed pattern and writes, block by block (some megabytes of a task's texts), each document
    as codes of its words, and the block's distinct words.
-2. A word is dealt out by itself, once for all blocks of a span of partitions, so that common words are no hot group: a
-   group holds at most the blocks of SPAN partitions. Its bytes, a text of Latin-1 characters, are folded: a state holds a
+2. The words are dealt out in groups by hash; each is encoded once for all blocks of a span of partitions, so that common
+   words are no hot group: one meets at most the blocks of SPAN partitions. Its bytes, a text of Latin-1 characters, are folded: a state holds a
    number for each part, the rank of the part with its successor and where the part begins. The least number is the pair
    to merge, leftmost among equal ranks. The rank map is a literal, dealt to buckets by CRC-32, as Spark searches a map
    from end to end. A word of over LONG bytes merges all pairs of the least rank at once: a merge never makes a pair of
@@ -38,8 +38,8 @@ from .common import numbered, prepare, staged, texts_of
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of a block and documents of one of its rows, partitions whose words are encoded together, buckets of the rank map.
 BLOCK_WORDS, SLICE, SPAN, BUCKETS = 8_000_000, 512, 1024, 1 << 16
-#: Words of a row of the block's dictionary.
-WORDS_A_ROW = 50_000
+#: Groups, by hash, of the words of a span.
+GROUPS = 1024
 #: Bytes from which all pairs of the least rank are merged at once.
 LONG = 256
 
@@ -109,37 +109,54 @@ class Dictionary:
         return out
 
 
+def _packed(codes: bytes) -> bytes:
+    """Codes compressed, their low bytes first and together, then the next."""
+    planes = np.ascontiguousarray(np.frombuffer(codes, np.uint8).reshape(-1, 4).T)
+    return pa.Codec("zstd", 5).compress(planes.tobytes(), asbytes=True)
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 4 * n, "zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).reshape(-1).view("<i4")
+
+
 def cut(docs: DataFrame) -> DataFrame:
-    """Staged rows of two kinds, of a block each: (doc_ids, sizes, codes) of some documents; or (first, words), words with codes from `first` on."""
+    """Staged rows of two kinds, of a block each: (doc_ids, sizes, codes) of some documents; or (group, words, places), the words of a group and their codes."""
     prepare(docs.sparkSession)
     doc_type = docs.schema["doc_id"].dataType.simpleString()
-    names = ["block", "doc_ids", "sizes", "codes", "first", "words"]
+    names = ["block", "doc_ids", "sizes", "codes", "group", "words", "places"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, own, kinds = None, Dictionary(), None
+        block, own, kinds, span = None, Dictionary(), None, 0
 
-        def dictionary() -> Iterator[pa.RecordBatch]:
-            words = [w.encode() for w in own.codes]
-            for at in range(0, len(words), WORDS_A_ROW):
-                yield row(None, None, None, at, words[at : at + WORDS_A_ROW])
+        def row(*values: object) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((block, *values), kinds, strict=True)], names)
 
-        def row(ids, sizes, codes, first, words) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((block, ids, sizes, codes, first, words), kinds, strict=True)], names)
-
-        for part, before, batch in numbered(batches):
-            kinds = [pa.int64(), pa.list_(batch.schema.field("doc_id").type), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.list_(pa.binary())]
-            block = part << 32 if block is None else block
+        def dictionary() -> Iterator[pa.RecordBatch]:
+            dealt: list[tuple[list[bytes], list[int]]] = [([], []) for _ in range(GROUPS)]
+            for word, code in own.codes.items():
+                raw = word.encode()
+                words, codes = dealt[zlib.crc32(raw) % GROUPS]
+                words.append(raw)
+                codes.append(code)
+            for k, (words, codes) in enumerate(dealt):
+                if words:
+                    yield row(None, None, None, span * GROUPS + k, words, codes)
+
+        for part, _, batch in numbered(batches):
+            kinds = [pa.int64(), pa.list_(batch.schema.field("doc_id").type), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int32())]
+            block, span = part << 32 if block is None else block, part // SPAN
             texts = texts_of(batch)
             for at in range(0, len(texts), SLICE):
                 coded = [own.coded(t) for t in texts[at : at + SLICE]]
-                yield row(batch.column("doc_id")[at : at + SLICE], [len(c) // 4 for c in coded], pa.compress(b"".join(coded), "zstd", asbytes=True), None, None)
+                yield row(batch.column("doc_id")[at : at + SLICE], [len(c) // 4 for c in coded], _packed(b"".join(coded)), None, None, None)
                 if own.seen >= BLOCK_WORDS:
                     yield from dictionary()
                     block, own = block + 1, Dictionary()
         if own.seen:
             yield from dictionary()
 
-    schema = f"block bigint, doc_ids array<{doc_type}>, sizes array<int>, codes binary, first int, words array<binary>"
+    schema = f"block bigint, doc_ids array<{doc_type}>, sizes array<int>, codes binary, group int, words array<binary>, places array<int>"
     return staged(docs.select("doc_id", "text").mapInArrow(rows, schema), "words", bucket_by="block")
 
 
@@ -230,12 +247,19 @@ def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
 
 
 def encoded_words(blocks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(block, code, ids) of each block's words."""
-    key = ["word", "span"]
-    own = blocks.filter("words is not null").select("block", "first", F.posexplode("words").alias("pos", "word"))
-    own = own.select("word", F.shiftright("block", 42).alias("span"), "block", (F.col("first") + F.col("pos")).alias("code"))  # 1024 partitions
-    own = own.repartition(*key).groupBy(*key).agg(F.collect_list(F.struct("block", "code")).alias("places"))
-    return own.select(word_ids(F.col("word"), ranks).alias("ids"), "places").select("ids", F.explode("places").alias("at")).select("at.block", "at.code", "ids")
+    """(block, code, ids) of each block's words; ids less 2^15 each, so that two bytes hold them, where all are below 2^16."""
+    key = ["group", "word"]
+    own = blocks.filter("words is not null").select("group", "block", "words", "places").repartition("group")
+    own = own.select("group", "block", F.explode(F.arrays_zip("words", "places")).alias("x")).select("group", F.col("x.words").alias("word"), "block", F.col("x.places").alias("code"))
+    own = own.groupBy(*key).agg(F.collect_list(F.struct("block", "code")).alias("places"))
+    own = own.select(word_ids(F.col("word"), ranks).alias("ids"), "places")
+    if _shift(ranks):
+        own = own.select(F.transform("ids", lambda i: (i - _shift(ranks)).cast("smallint")).alias("ids"), "places")
+    return own.select("ids", F.explode("places").alias("at")).select("at.block", "at.code", "ids")
+
+
+def _shift(ranks: dict[bytes, int]) -> int:
+    return 1 << 15 if max(ranks.values(), default=0) < 1 << 16 else 0
 
 
 # --- documents -----------------------------------------------------------------------------------------------------
@@ -245,12 +269,12 @@ def _by_document(docs: DataFrame, ranks: dict[bytes, int], schema: str, made: Ca
     """made(doc_ids, (ids, bytes of its words) of each) is called for some documents at a time."""
     blocks = cut(docs)
     codes = blocks.filter("codes is not null").select("block", "doc_ids", "sizes", "codes")
-    pieces = {rank: piece for piece, rank in ranks.items()}
+    pieces, shift = {rank: piece for piece, rank in ranks.items()}, np.int32(_shift(ranks))
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.combine_chunks().sort_by("code")
         lists = right.column("ids").combine_chunks() if right.num_rows else pa.array([], pa.list_(pa.int32()))
-        flat, offsets = lists.flatten().to_numpy(zero_copy_only=False).astype("<i4"), lists.offsets.to_numpy()
+        flat, offsets = lists.flatten().to_numpy(zero_copy_only=False).astype("<i4") + shift, lists.offsets.to_numpy()
         starts, counts = offsets[:-1] - (offsets[0] if len(offsets) else 0), np.diff(offsets)
         raw = [pieces[i] for i in flat.tolist()]
         words = [b"".join(raw[a : a + n]) for a, n in zip(starts.tolist(), counts.tolist(), strict=True)]
@@ -268,8 +292,7 @@ def _by_document(docs: DataFrame, ranks: dict[bytes, int], schema: str, made: Ca
         tables = []
         for k in range(left.num_rows):
             sizes = left.column("sizes")[k].as_py()
-            raw_codes = pa.decompress(left.column("codes")[k].as_py(), 4 * sum(sizes), "zstd", asbytes=True) if sum(sizes) else b""
-            tables.append(made(left.column("doc_ids")[k].values, of(sizes, np.frombuffer(raw_codes, "<i4"))))
+            tables.append(made(left.column("doc_ids")[k].values, of(sizes, _unpacked(left.column("codes")[k].as_py(), sum(sizes)))))
         return pa.concat_tables(tables)
 
     words = encoded_words(blocks, ranks)

@@ -35,7 +35,7 @@ def test_documents(spark, library, monkeypatch):
     assert sorted((str(r[0]), *r[1:]) for r in out.collect()) == want
     monkeypatch.setattr(byte_bpe, "SLICE", 5)
     monkeypatch.setattr(byte_bpe, "BLOCK_WORDS", 200)  # several blocks a task
-    monkeypatch.setattr(byte_bpe, "WORDS_A_ROW", 7)
+    monkeypatch.setattr(byte_bpe, "GROUPS", 7)
     assert sorted((str(r[0]), *r[1:]) for r in byte_bpe.byte_bpe(docs, ranks_path()).collect()) == want
 
 
