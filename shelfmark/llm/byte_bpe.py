@@ -39,7 +39,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Words of a block and documents of one of its rows, partitions whose words are encoded together, buckets of the rank map.
 BLOCK_WORDS, SLICE, SPAN, BUCKETS = 8_000_000, 512, 1024, 1 << 16
 #: Groups, by hash, of the words of a span.
-GROUPS = 1024
+GROUPS = 512
+#: Encoded words that a task gathers before it packs them by block.
+PENDING = 200_000
 #: Bytes from which all pairs of the least rank are merged at once.
 LONG = 256
 
@@ -133,15 +135,14 @@ def cut(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((block, *values), kinds, strict=True)], names)
 
         def dictionary() -> Iterator[pa.RecordBatch]:
-            dealt: list[tuple[list[bytes], list[int]]] = [([], []) for _ in range(GROUPS)]
+            dealt: list[list[tuple[bytes, int]]] = [[] for _ in range(GROUPS)]
             for word, code in own.codes.items():
                 raw = word.encode()
-                words, codes = dealt[zlib.crc32(raw) % GROUPS]
-                words.append(raw)
-                codes.append(code)
-            for k, (words, codes) in enumerate(dealt):
+                dealt[zlib.crc32(raw) % GROUPS].append((raw, code))
+            for k, words in enumerate(dealt):
                 if words:
-                    yield row(None, None, None, span * GROUPS + k, words, codes)
+                    words.sort()  # neighbours that begin alike compress well
+                    yield row(None, None, None, span * GROUPS + k, *zip(*words, strict=True))
 
         for part, _, batch in numbered(batches):
             kinds = [pa.int64(), pa.list_(batch.schema.field("doc_id").type), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int32())]
@@ -247,19 +248,43 @@ def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
 
 
 def encoded_words(blocks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(block, code, ids) of each block's words; ids less 2^15 each, so that two bytes hold them, where all are below 2^16."""
-    key = ["group", "word"]
+    """(block, codes, counts, ids) of each block's words, many words in a row: their codes, how many ids each has, and the ids, as packed numbers."""
     own = blocks.filter("words is not null").select("group", "block", "words", "places").repartition("group")
     own = own.select("group", "block", F.explode(F.arrays_zip("words", "places")).alias("x")).select("group", F.col("x.words").alias("word"), "block", F.col("x.places").alias("code"))
-    own = own.groupBy(*key).agg(F.collect_list(F.struct("block", "code")).alias("places"))
-    own = own.select(word_ids(F.col("word"), ranks).alias("ids"), "places")
-    if _shift(ranks):
-        own = own.select(F.transform("ids", lambda i: (i - _shift(ranks)).cast("smallint")).alias("ids"), "places")
-    return own.select("ids", F.explode("places").alias("at")).select("at.block", "at.code", "ids")
-
-
-def _shift(ranks: dict[bytes, int]) -> int:
-    return 1 << 15 if max(ranks.values(), default=0) < 1 << 16 else 0
+    own = own.groupBy("group", "word").agg(F.collect_list("block").alias("blocks"), F.collect_list("code").alias("codes"))
+    own = own.select(word_ids(F.col("word"), ranks).alias("ids"), "blocks", "codes")
+    small = max(ranks.values(), default=0) < 1 << 16
+
+    def packed(words: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        block, code, count, ids = (np.concatenate(x) for x in zip(*words, strict=True))
+        ends = np.cumsum(count)
+        order = np.argsort(block, kind="stable")
+        for mine in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+            many = count[mine]
+            after = np.cumsum(many)
+            at = np.arange(after[-1]) + np.repeat(ends[mine] - after, many)
+            columns = (code[mine].astype("<i4"), many.astype("<i4"), ids[at].astype("<u2" if small else "<u4"))
+            yield pa.RecordBatch.from_arrays([pa.array(block[mine[:1]], pa.int64()), *[pa.array([c.tobytes()], pa.binary()) for c in columns]], ["block", "codes", "counts", "ids"])
+
+    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pending = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, blocks, codes = (batch.column(c) for c in ("ids", "blocks", "codes"))
+            count = np.repeat(ids.value_lengths().to_numpy(), places := blocks.value_lengths().to_numpy())
+            starts = np.cumsum(ids.value_lengths().to_numpy()) - ids.value_lengths().to_numpy()
+            ends = np.cumsum(count)
+            at = np.arange(ends[-1]) + np.repeat(np.repeat(starts, places) - ends + count, count)
+            words.append((blocks.flatten().to_numpy(), codes.flatten().to_numpy(), count, ids.flatten().to_numpy()[at]))
+            pending += len(count)
+            if pending >= PENDING:
+                yield from packed(words)
+                words, pending = [], 0
+        if words:
+            yield from packed(words)
+
+    return own.mapInArrow(by_block, "block bigint, codes binary, counts binary, ids binary")
 
 
 # --- documents -----------------------------------------------------------------------------------------------------
@@ -269,13 +294,15 @@ def _by_document(docs: DataFrame, ranks: dict[bytes, int], schema: str, made: Ca
     """made(doc_ids, (ids, bytes of its words) of each) is called for some documents at a time."""
     blocks = cut(docs)
     codes = blocks.filter("codes is not null").select("block", "doc_ids", "sizes", "codes")
-    pieces, shift = {rank: piece for piece, rank in ranks.items()}, np.int32(_shift(ranks))
+    pieces = {rank: piece for piece, rank in ranks.items()}
+    kind = "<u2" if max(ranks.values(), default=0) < 1 << 16 else "<u4"
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.combine_chunks().sort_by("code")
-        lists = right.column("ids").combine_chunks() if right.num_rows else pa.array([], pa.list_(pa.int32()))
-        flat, offsets = lists.flatten().to_numpy(zero_copy_only=False).astype("<i4") + shift, lists.offsets.to_numpy()
-        starts, counts = offsets[:-1] - (offsets[0] if len(offsets) else 0), np.diff(offsets)
+        packed = lambda name, of: np.concatenate([np.zeros(0, of), *[np.frombuffer(x, of) for x in right.column(name).to_pylist()]])
+        flat, order = packed("ids", kind).astype("<i4"), np.argsort(packed("codes", "<i4"))
+        counts = packed("counts", "<i4").astype(np.int64)
+        starts = (np.cumsum(counts) - counts)[order]
+        counts = counts[order]
         raw = [pieces[i] for i in flat.tolist()]
         words = [b"".join(raw[a : a + n]) for a, n in zip(starts.tolist(), counts.tolist(), strict=True)]
 
