@@ -248,7 +248,8 @@ def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
 
 
 def encoded_words(blocks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(block, codes, counts, ids) of each block's words, many words in a row: their codes, how many ids each has, and the ids, as packed numbers."""
+    """(block, words, tokens, codes, counts, ids) of each block's words, many in a row: the steps between their codes, how many ids each has, and the
+    ids, as packed numbers."""
     own = blocks.filter("words is not null").select("group", "block", "words", "places").repartition("group")
     own = own.select("group", "block", F.explode(F.arrays_zip("words", "places")).alias("x")).select("group", F.col("x.words").alias("word"), "block", F.col("x.places").alias("code"))
     own = own.groupBy("group", "word").agg(F.collect_list("block").alias("blocks"), F.collect_list("code").alias("codes"))
@@ -258,13 +259,14 @@ def encoded_words(blocks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     def packed(words: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         block, code, count, ids = (np.concatenate(x) for x in zip(*words, strict=True))
         ends = np.cumsum(count)
-        order = np.argsort(block, kind="stable")
+        order = np.lexsort((code, block))
         for mine in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
             many = count[mine]
             after = np.cumsum(many)
             at = np.arange(after[-1]) + np.repeat(ends[mine] - after, many)
-            columns = (code[mine].astype("<i4"), many.astype("<i4"), ids[at].astype("<u2" if small else "<u4"))
-            yield pa.RecordBatch.from_arrays([pa.array(block[mine[:1]], pa.int64()), *[pa.array([c.tobytes()], pa.binary()) for c in columns]], ["block", "codes", "counts", "ids"])
+            columns = (_packed(np.diff(code[mine], prepend=0).astype("<i4").tobytes()), _packed(many.astype("<i4").tobytes()), pa.compress(ids[at].astype("<u2" if small else "<u4").tobytes(), "zstd", asbytes=True))
+            numbers = (block[mine[0]], len(mine), len(at))
+            yield pa.RecordBatch.from_arrays([*[pa.array([x], pa.int64()) for x in numbers], *[pa.array([c], pa.binary()) for c in columns]], ["block", "words", "tokens", "codes", "counts", "ids"])
 
     def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pending = [], 0
@@ -284,7 +286,7 @@ def encoded_words(blocks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
         if words:
             yield from packed(words)
 
-    return own.mapInArrow(by_block, "block bigint, codes binary, counts binary, ids binary")
+    return own.mapInArrow(by_block, "block bigint, words bigint, tokens bigint, codes binary, counts binary, ids binary")
 
 
 # --- documents -----------------------------------------------------------------------------------------------------
@@ -298,9 +300,12 @@ def _by_document(docs: DataFrame, ranks: dict[bytes, int], schema: str, made: Ca
     kind = "<u2" if max(ranks.values(), default=0) < 1 << 16 else "<u4"
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
-        packed = lambda name, of: np.concatenate([np.zeros(0, of), *[np.frombuffer(x, of) for x in right.column(name).to_pylist()]])
-        flat, order = packed("ids", kind).astype("<i4"), np.argsort(packed("codes", "<i4"))
-        counts = packed("counts", "<i4").astype(np.int64)
+        rows = right.to_pylist()
+        codes = np.concatenate([np.zeros(0, np.int32), *[np.cumsum(_unpacked(r["codes"], r["words"]), dtype=np.int32) for r in rows]])
+        counts = np.concatenate([np.zeros(0, np.int64), *[_unpacked(r["counts"], r["words"]) for r in rows]])
+        wide = np.dtype(kind).itemsize
+        flat = np.concatenate([np.zeros(0, kind), *[np.frombuffer(pa.decompress(r["ids"], wide * r["tokens"], "zstd", asbytes=True), kind) for r in rows]]).astype("<i4")
+        order = np.argsort(codes)
         starts = (np.cumsum(counts) - counts)[order]
         counts = counts[order]
         raw = [pieces[i] for i in flat.tolist()]

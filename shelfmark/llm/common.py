@@ -53,7 +53,7 @@ def staged(df: DataFrame, name: str, partition_by: str | None = None, bucket_by:
     writer = df.write.mode("overwrite")
     if bucket_by:
         buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        writer.bucketBy(buckets, bucket_by).option("path", path).option("compression", "zstd").saveAsTable(f"{name}_{mark}")
+        writer.bucketBy(buckets, bucket_by).option("path", path).option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").saveAsTable(f"{name}_{mark}")
         return df.sparkSession.table(f"{name}_{mark}")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
