@@ -32,7 +32,7 @@ from .common import prepare, staged
 
 MIN_DOCS, SCALE, TOP = 3, 10**9, 200
 #: Counts of a shard, about; partial counts that a task gathers before it passes them on; cells of a block of shares.
-CELLS, PENDING, BLOCK = 200_000, 1_000_000, 1 << 20
+CELLS, PENDING, BLOCK = 40_000, 1_000_000, 1 << 20
 #: What lies between terms (fixed value).
 _GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _KEYS = ["lang", "source", "term"]
@@ -168,6 +168,7 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> Dat
         return table.add_column(0, "lang", pa.array([lang] * table.num_rows, pa.string()))
 
     parts = left.groupBy("lang", "shard").cogroup(right.groupBy("lang", "shard")).applyInArrow(shares, "lang string, source string, part string, item string, value bigint")
+    parts = staged(parts, "parts")
     pairs = parts.filter("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     order = W.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
     every = pairs.unionByName(parts.filter("part = 'term'"))
