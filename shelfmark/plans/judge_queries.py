@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 
 from ..functions import folding, native, people
 from ..functions.vocabulary import ASKING, FORMAT, LABELS, PUBLISHER, QUESTION, ROLE, SMALL
-from ..operators import index, judge, match
-from .catalogue import _WORDS, query, table
+from ..operators import changes, highlight, index, judge, linediff, match
+from .catalogue import _WORDS, _versions, query, table
 
 _MADE = """SELECT id, n1, n2, m1, m2, t1, t2,
   CASE id % 7 WHEN 0 THEN n1 || ' ' || n2 || ' ' || m1 || ' ' || m2 WHEN 1 THEN 'the ' || n1 || ' ' || n2 || ' and the ' || m2 WHEN 2 THEN 'illustrated ' || n2
@@ -165,3 +165,58 @@ def titles_word_for_word(spark, sf_dir):
     """J16."""
     units, hits, words, _ = _parts(spark, sf_dir)
     return judge.title_equals(units, hits, words)
+
+
+_MARKS = f"""{_BASE}, r AS (SELECT row_id, wi, word, CAST(coalesce(sum(length(word) + 1) OVER (PARTITION BY row_id ORDER BY wi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM w WHERE field = 'title'),
+f AS (SELECT u.query_id, u.unit, u.word AS typed, u.small, unit = max(unit) OVER (PARTITION BY query_id) AS last FROM u),
+x AS (SELECT query_id, row_id, wi, small, s, s + length(typed) AS e FROM f JOIN r ON r.word = typed OR (last AND length(typed) >= 3 AND starts_with(r.word, typed))),
+y AS (SELECT * FROM x WHERE NOT small UNION ALL SELECT a.* FROM x a WHERE small AND EXISTS (SELECT 1 FROM x b WHERE NOT b.small AND b.query_id = a.query_id AND b.row_id = a.row_id AND abs(b.wi - a.wi) = 1)),
+z AS (SELECT *, max(e) OVER (PARTITION BY query_id, row_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM y),
+i AS (SELECT *, sum(CASE WHEN s > before OR before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, row_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM z),
+m AS (SELECT query_id, row_id, min(s) AS s, max(e) AS e FROM i GROUP BY query_id, row_id, island)"""
+
+
+def _highlights(spark, sf_dir) -> DataFrame:
+    units, hits, _, posted = _parts(spark, sf_dir)
+    hits = hits.unionByName(match.prefix_hits(units, posted)).filter("field = 'title'")
+    return highlight.highlights(units, hits, highlight.word_ranges(listed(spark, sf_dir).select(F.col("id").alias("row_id"), "title"), ("title",)))
+
+
+@query(f"{_MARKS} SELECT query_id, row_id, 'title' AS field, CAST(s AS INTEGER) AS s, CAST(e AS INTEGER) AS e FROM m")
+def search_highlights(spark, sf_dir):
+    """O2: the ranges of titles that the queries' words have, the last word as far as it was typed."""
+    return _highlights(spark, sf_dir)
+
+
+@query(f"""{_MARKS}, n AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY query_id, row_id ORDER BY s), 0) AS before FROM m)
+    SELECT query_id, row_id, string_agg(substr(title, CAST(before AS INTEGER) + 1, CAST(s - before AS INTEGER)) || '[' || substr(title, CAST(s AS INTEGER) + 1, CAST(e - s AS INTEGER)) || ']', '' ORDER BY s) || substr(any_value(title), CAST(max(e) AS INTEGER) + 1) AS shown
+    FROM n JOIN l ON l.id = row_id GROUP BY query_id, row_id""")
+def marked_titles(spark, sf_dir):
+    """O3: titles with their ranges in brackets; the ranges come out of order, and one that lies beyond the end among them."""
+    spans = _highlights(spark, sf_dir).groupBy("query_id", "row_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    shown = spans.join(listed(spark, sf_dir).select(F.col("id").alias("row_id"), "title"), "row_id")
+    parts = highlight.marked(F.col("title"), F.concat(F.reverse("spans"), F.array(F.struct(F.lit(900).alias("s"), F.lit(999).alias("e")))))
+    text = F.array_join(F.transform(parts, lambda x: F.when(x["mark"], F.concat(F.lit("["), x["text"], F.lit("]"))).otherwise(x["text"])), "")
+    return shown.select("query_id", "row_id", text.alias("shown"))
+
+
+@query("""WITH RECURSIVE v AS (SELECT event_type AS tab, CAST(user_id AS VARCHAR) AS fingerprint, list(event_id ORDER BY event_id) FILTER (event_id % 2 = 0) AS olds, list(event_id ORDER BY event_id) FILTER (event_id % 2 = 1) AS news FROM events GROUP BY 1, 2),
+n AS (SELECT tab, fingerprint, coalesce(olds, []) AS olds, coalesce(news, []) AS news FROM v),
+g(tab, fingerprint, k, olds, free, took) AS (SELECT tab, fingerprint, 0, olds, news, CAST(NULL AS BIGINT) FROM n WHERE len(olds) <> len(news) AND len(olds) > 0 AND len(news) > 0
+  UNION ALL SELECT tab, fingerprint, k + 1, olds, list_filter(free, lambda x: x IS DISTINCT FROM best), best
+  FROM (SELECT *, list_sort(list_transform(free, lambda x: {'d': abs(x - olds[k + 1]), 'x': x}))[1].x AS best FROM g WHERE k < len(olds))),
+r AS (SELECT tab, fingerprint, olds[k] AS old_row, took AS new_row FROM g WHERE k > 0 UNION ALL SELECT tab, fingerprint, NULL, unnest(free) FROM g WHERE k = len(olds)
+  UNION ALL SELECT tab, fingerprint, unnest(olds), unnest(news) FROM n WHERE len(olds) = len(news) OR len(olds) = 0 OR len(news) = 0)
+SELECT tab, fingerprint, coalesce(old_row, -1) AS old_row, coalesce(new_row, -1) AS new_row FROM r""")
+def snapshot_pairs_nearest(spark, sf_dir):
+    """J15, R4."""
+    return changes.paired_nearest(*_versions(spark, sf_dir)).fillna(-1, ["old_row", "new_row"])
+
+
+@query()
+def list_line_diff(spark, sf_dir):
+    """U5s, G4: each document's lines against another version of it, in which some are left out, some are put otherwise, and the first comes last."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("tab"), "text")
+    lines = linediff.lines_of(F.col("text"))
+    other = F.filter(F.transform(lines, lambda x, i: F.when(i % 7 == 3, None).when(i % 5 == 2, F.upper(x)).otherwise(x)), lambda x: x.isNotNull())
+    return linediff.hunks(linediff.line_diff(docs, docs.select("tab", F.array_join(F.concat(F.slice(other, 2, 1 << 30), F.slice(other, 1, 1)), "\n").alias("text"))))
