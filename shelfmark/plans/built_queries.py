@@ -48,7 +48,9 @@ def csv_tab_records(spark, sf_dir):
 def _extracted(spark, sf_dir):
     found = readers.csv_records(_csv_tabs(spark, sf_dir))
     first = found.agg(F.min("tab").alias("tab")).first().tab
-    header = extract.find_header(found.filter(F.col("tab") == first)) or extract.Header(3, ["Title"], {"title": 0}, None, None)
+    header = extract.find_header(found.filter(F.col("tab") == first))
+    if header is None:
+        raise ValueError("no header found")
     return extract.extract(found, header)
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 
 from ..functions import folding, native, people
 from ..functions.vocabulary import ASKING, FORMAT, LABELS, PUBLISHER, QUESTION, ROLE, SMALL
-from ..operators import changes, highlight, index, judge, linediff, match
+from ..operators import changes, highlight, index, judge, labels, linediff, match
+from ..sources import readers
 from .catalogue import _WORDS, _versions, query, table
 
 _MADE = """SELECT id, n1, n2, m1, m2, t1, t2,
@@ -220,3 +221,40 @@ def list_line_diff(spark, sf_dir):
     lines = linediff.lines_of(F.col("text"))
     other = F.filter(F.transform(lines, lambda x, i: F.when(i % 7 == 3, None).when(i % 5 == 2, F.upper(x)).otherwise(x)), lambda x: x.isNotNull())
     return linediff.hunks(linediff.line_diff(docs, docs.select("tab", F.array_join(F.concat(F.slice(other, 2, 1 << 30), F.slice(other, 1, 1)), "\n").alias("text"))))
+
+
+_VOLUMES = "n2 || CASE id % 4 WHEN 0 THEN ' Books ' || CAST(id % 40 + 1 AS VARCHAR(9)) || '-' || CAST(id % 40 + 1 + id % 90 AS VARCHAR(9)) WHEN 1 THEN ', Vol. ' || CAST(id % 60 + 1 AS VARCHAR(9)) WHEN 2 THEN ' grade ' || CAST(id % 9 + 1 AS VARCHAR(9)) || ' to ' || CAST(id % 9 + 2 AS VARCHAR(9)) ELSE '' END"
+
+
+@query(f"""WITH l AS ({_MADE.format(part='part')}), r AS (SELECT id AS row_id, n2, CASE id % 4 WHEN 2 THEN 'grade' ELSE 'book' END AS label, CASE id % 4 WHEN 0 THEN id % 40 + 1 WHEN 1 THEN id % 60 + 1 ELSE id % 9 + 1 END AS low,
+  CASE id % 4 WHEN 0 THEN id % 40 + 1 + id % 90 WHEN 1 THEN id % 60 + 1 ELSE id % 9 + 2 END AS high FROM l WHERE id % 4 < 3),
+q AS (SELECT id AS query_id, n2, CASE floor(id / 100) % 3 WHEN 0 THEN 'book' WHEN 1 THEN 'book' ELSE 'grade' END AS label, CAST(floor(id / 100) AS INTEGER) * 7 % 90 + 1 AS n FROM l WHERE id % 100 = 0),
+e AS (SELECT DISTINCT query_id, row_id, q.label FROM q JOIN r ON q.label = r.label AND n BETWEEN low AND high)
+SELECT query_id, row_id, label, 'exact' AS kind FROM e UNION ALL SELECT DISTINCT query_id, r.row_id, q.label, 'loose' FROM q JOIN r ON q.n2 = r.n2 AND q.label = r.label WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.query_id = q.query_id AND e.row_id = r.row_id)""")
+def label_ranges(spark, sf_dir):
+    """A number that is asked meets ranges of any length; rows that share the query's noun and label, but no number, are loose."""
+    own = listed(spark, sf_dir)
+    rows = labels.ranges(own.select(F.col("id").alias("row_id"), F.expr(_VOLUMES).alias("title")), "title")
+    k = F.floor(F.col("id") / 100).cast("int")
+    text = F.concat(F.when(k % 3 == 0, "book ").when(k % 3 == 1, "volume no. ").otherwise("Grade #"), (k * 7 % 90 + 1).cast("string"))
+    some = own.filter("id % 100 = 0")
+    typed = labels.ranges(some.select(F.col("id").alias("query_id"), text.alias("text")), "text")
+    shared = some.select(F.col("id").alias("query_id"), "n2").join(own.select(F.col("id").alias("row_id"), "n2"), "n2")
+    return labels.label_hits(typed, rows, shared)
+
+
+@query("""SELECT n_nationkey AS gid, n_name AS tab, CASE n_nationkey % 5 WHEN 1 THEN 'missing' WHEN 2 THEN 'empty' WHEN 3 THEN 'html' END AS kind,
+    CASE WHEN n_nationkey % 5 IN (0, 4) THEN (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) + 1 ELSE 0 END AS records FROM nation""")
+def tabs_with_errors(spark, sf_dir):
+    """A tab of each nation's suppliers; of every five tabs one is missing, one empty and one a web page, and the others load."""
+    nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    lines = supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.array_join(F.collect_list("s_name"), "\n").alias("lines"))
+    k = F.col("n_nationkey") % 5
+    content = F.when(k == 2, "  \n").when(k == 3, "<!DOCTYPE html><p>Sign in").otherwise(F.concat_ws("\n", F.lit("Title"), "lines"))
+    path = F.concat(F.lit("lists/"), F.col("n_nationkey").cast("string"), F.lit(".csv"))
+    files = nation.join(lines, "n_nationkey", "left").filter(k != 1).select(F.concat(F.lit("file:/data/"), path).alias("path"), content.alias("content"))
+    wanted = nation.select(F.col("n_name").alias("tab"), F.col("n_nationkey").cast("string").alias("gid"), path.alias("path"))
+    records, errors = readers.load_tabs(wanted, files)
+    found = records.groupBy("tab").agg(F.count(F.lit(1)).alias("records"))
+    own = nation.select(F.col("n_nationkey").alias("gid"), F.col("n_name").alias("tab"))
+    return own.join(errors.select("tab", "kind"), "tab", "left").join(found, "tab", "left").select("gid", "tab", "kind", F.coalesce("records", F.lit(0)).alias("records"))

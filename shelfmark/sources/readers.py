@@ -56,8 +56,43 @@ def csv_records(files: DataFrame) -> DataFrame:
     return files.select("tab", "gid", F.posexplode(parse("content")).alias("at", "cells")).select("tab", "gid", (F.col("at") + 1).alias("row"), "cells")
 
 
+#: Fixed value: how a web page begins that came in place of data.
+_PAGE = "(?i)^\\s*<(?:!doctype|html|head|body)"
+
+
+def load_tabs(wanted: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, errors): each wanted tab's records, or an error (tab, kind, message) of that tab alone.
+
+    wanted: (tab, gid, path), path being the end of a file's path from a slash on; files: (path, content), as `tab_files` reads
+    them. A tab without a file, an empty one and a web page in place of data are errors; the others load. Of several files
+    that a path fits the first by name counts.
+    """
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    asked, there = wanted.withColumn("name", name(F.col("path"))), files.withColumn("name", name(F.col("path"))).withColumnRenamed("path", "file")
+    fits = F.concat(F.lit("/"), "file").endswith(F.concat(F.lit("/"), F.ltrim("path", F.lit("/"))))
+    found = asked.join(there, "name").filter(fits).groupBy("tab", "gid").agg(F.min_by("content", "file").alias("content"))
+    every = wanted.select("tab", "gid").distinct().join(found.withColumn("found", F.lit(True)), ["tab", "gid"], "left")
+    text = F.coalesce("content", F.lit(""))
+    kind = F.when(F.col("found").isNull(), "missing").when(text.rlike(r"^\s*$"), "empty").when(F.substring(text, 1, 200).rlike(_PAGE), "html")
+    said = F.when(F.col("kind") == "missing", "the tab was not found").when(F.col("kind") == "empty", "the tab is empty").otherwise("a web page came in place of the tab")
+    judged = every.withColumn("kind", kind)
+    return csv_records(judged.filter("kind IS NULL").select("tab", "gid", "content")), judged.filter("kind IS NOT NULL").select("tab", "kind", said.alias("message"))
+
+
+def tab_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, content) of a folder's CSV files, each read whole by one task, as a tab is."""
+    own = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").schema("value string").text(folder, wholetext=True)
+    return own.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+
+
+def load_csv_tabs(spark: SparkSession, folder: str, paths: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(records, errors) of tabs by name; paths: of each within the folder."""
+    wanted = spark.createDataFrame([(tab, str(k), path) for k, (tab, path) in enumerate(paths.items())], "tab string, gid string, path string")
+    return load_tabs(wanted, tab_files(spark, folder))
+
+
 def read_csv_tabs(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Paths: by tab."""
+    """S5, where every tab must be there: the records of files by tab."""
     out = None
     for k, (tab, path) in enumerate(paths.items()):
         one = spark.read.text(path, wholetext=True).select(F.lit(tab).alias("tab"), F.lit(str(k)).alias("gid"), F.col("value").alias("content"))
@@ -111,5 +146,8 @@ def aliases(documents: DataFrame) -> DataFrame:
 
 
 def write_csv(grid: DataFrame, path: str) -> None:
-    """A results table, replaced as a whole."""
+    """A results table, replaced as a whole; a cell that a sheet would take for a formula is written as text."""
+    text = [f.name for f in grid.schema if isinstance(f.dataType, T.StringType)]
+    safe = {c: F.when(F.col(f"`{c}`").rlike("^[=+@-]"), F.concat(F.lit("'"), F.col(f"`{c}`"))).otherwise(F.col(f"`{c}`")) for c in text}
+    grid = grid.withColumns(safe)
     grid.write.mode("overwrite").csv(path, header=True)
