@@ -15,7 +15,10 @@ from ..streaming.refresh import counted
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-ASKED = "(VALUES (1, 'red widget'), (2, 'Blue gears'), (3, 'the cold plate of'), (4, 'large anvi'), (5, 'newbolt'), (6, 'gizmo ring rod'), (7, 'the of'), (8, 'wigdet'), (9, 'old an vil'))"
+#: Every part whose key is divisible by 100 asks: its name as it is, among small words, cut short, with another part's noun, run together, or with letters swapped.
+_ASKS = """CASE CAST(floor(p_partkey / 100) AS INTEGER) % 7 WHEN 1 THEN 'the ' || p_name || ' of' WHEN 2 THEN substr(p_name, 1, length(p_name) - 1) WHEN 3 THEN 'Gizmo ' || p_name || ' rod'
+    WHEN 4 THEN replace(p_name, ' ', '') WHEN 5 THEN substr(p_name, 2, 1) || substr(p_name, 1, 1) || substr(p_name, 3) WHEN 6 THEN 'the of' ELSE p_name END"""
+ASKED = f"(SELECT p_partkey AS query_id, {_ASKS} AS text FROM part WHERE p_partkey % 100 = 0)"
 _SMALL = ", ".join(f"'{w}'" for w in SMALL)
 _WORDS = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
 _UNITS = f"""u0 AS (SELECT query_id, unnest(range(len(ws))) AS unit, unnest(ws) AS word FROM (SELECT query_id, {_WORDS.format('text')} AS ws FROM {ASKED} AS q(query_id, text))),
@@ -37,8 +40,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def asked(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"SELECT query_id, text FROM {ASKED[:-1]}) AS q(query_id, text)")
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.expr(_ASKS).alias("text"))
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,13 +91,13 @@ def group_rows(spark, sf_dir):
 
 @query(f"WITH {_UNITS} SELECT query_id, CAST(unit AS INTEGER) AS unit, word, required, last FROM units")
 def query_units(spark, sf_dir):
-    return match.units(asked(spark))
+    return match.units(asked(spark, sf_dir))
 
 
 @query(f"""WITH {_UNITS}, {_POSTED} SELECT query_id, row_id FROM units JOIN posted ON word = term
     GROUP BY query_id, row_id HAVING count(DISTINCT unit) = (SELECT count(*) FROM units v WHERE v.query_id = units.query_id)""")
 def search_exact_all_words(spark, sf_dir):
-    units = match.units(asked(spark))
+    units = match.units(asked(spark, sf_dir))
     return match.all_of(match.exact_hits(units, posted(spark, sf_dir)), units)
 
 
@@ -102,7 +105,7 @@ def search_exact_all_words(spark, sf_dir):
     ON last AND length(word) >= 3 AND starts_with(term, word) AND length(term) > length(word)""")
 def search_prefix_last_word(spark, sf_dir):
     own = posted(spark, sf_dir)
-    return match.prefix_hits(match.units(asked(spark)), own).join(own, ["row_id", "field", "wi"]).select("query_id", "row_id", "term")
+    return match.prefix_hits(match.units(asked(spark, sf_dir)), own).join(own, ["row_id", "field", "wi"]).select("query_id", "row_id", "term")
 
 
 _NEAR = """WITH b AS (SELECT DISTINCT unnest({w0}) AS word FROM benchmark), d AS (SELECT DISTINCT unnest({w1}) AS term FROM benchmark),
@@ -130,7 +133,7 @@ _TIERS = f"""WITH {_UNITS}, {_POSTED}, hits AS (SELECT DISTINCT query_id, unit,
 
 @query(f"{_TIERS} SELECT query_id, row_id, CASE WHEN strong = required THEN 3 ELSE 1 END AS tier, strong, required FROM found WHERE strong * 2 >= required")
 def tiered_search(spark, sf_dir):
-    units = match.units(asked(spark))
+    units = match.units(asked(spark, sf_dir))
     return match.tiers(match.best_hits(match.exact_hits(units, posted(spark, sf_dir))), units).select("query_id", "row_id", "tier", "strong", "required")
 
 
@@ -142,37 +145,36 @@ def possible_half_words(spark, sf_dir):
 @query()
 def full_search(spark, sf_dir):
     """Exact, alternate, typed, joined, split and misspelt words at once."""
-    return match.search(asked(spark), posted(spark, sf_dir))
+    return match.search(asked(spark, sf_dir), posted(spark, sf_dir))
 
 
 @query(f"""WITH {_UNITS}, {_POSTED}, own AS (SELECT DISTINCT row_id, term FROM posted), n AS (SELECT row_id, count(*) AS items FROM own GROUP BY 1),
     q AS (SELECT DISTINCT query_id, word FROM units)
     SELECT query_id, row_id, items FROM (SELECT query_id, row_id, count(*) AS hit FROM own JOIN q ON word = term GROUP BY 1, 2) JOIN n USING (row_id) WHERE hit = items""")
 def reverse_containment(spark, sf_dir):
-    return match.contained_titles(asked(spark), posted(spark, sf_dir))
+    return match.contained_titles(asked(spark, sf_dir), posted(spark, sf_dir))
 
 
 @query(f"""WITH {_UNITS}, {_POSTED} SELECT DISTINCT query_id, row_id FROM posted JOIN units ON word = term AND required""")
 def semi_join_candidates(spark, sf_dir):
-    units = match.units(asked(spark))
+    units = match.units(asked(spark, sf_dir))
     return match.candidates(match.exact_hits(units, posted(spark, sf_dir)), units)
 
 
-@query(f"""WITH {_UNITS}, {_POSTED}, hits AS (SELECT DISTINCT query_id, unit, row_id FROM units JOIN posted ON word = term),
-    k AS (SELECT p_partkey AS row_id, array_to_string(list_filter({_WORDS.format('p_name')}, lambda w: w NOT IN ({_SMALL})), ' ') AS group_key FROM part),
-    main AS (SELECT query_id, row_id FROM hits WHERE row_id % 3 = 0), g AS (SELECT DISTINCT query_id, group_key FROM main JOIN k USING (row_id))
+@query(f"""{_TIERS}, k AS (SELECT p_partkey AS row_id, array_to_string(list_sort({_WORDS.format('p_type')}), ' ') || p_size AS group_key FROM part),
+    main AS (SELECT query_id, row_id FROM found WHERE strong = required), g AS (SELECT DISTINCT query_id, group_key FROM main JOIN k USING (row_id))
     SELECT query_id, row_id FROM g JOIN k USING (group_key) EXCEPT SELECT query_id, row_id FROM main""")
 def anti_join_siblings(spark, sf_dir):
-    units = match.units(asked(spark))
-    found = match.exact_hits(units, posted(spark, sf_dir)).select("query_id", "row_id").distinct().filter("row_id % 3 = 0")
-    keys = rows(spark, sf_dir).select(F.col("id").alias("row_id"), index.group_key(F.col("title")).alias("group_key"))
+    """Rows of the type and size of a match that are no match themselves."""
+    found = tiered_search(spark, sf_dir).filter("tier = 3")
+    keys = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), F.concat(index.author_key(F.col("p_type")), F.col("p_size").cast("string")).alias("group_key"))
     return match.siblings(found, keys)
 
 
 @query(f"""WITH {_UNITS}, {_POSTED}, hits AS (SELECT DISTINCT query_id, unit, row_id FROM units JOIN posted ON word = term)
     SELECT query_id, row_id FROM hits WHERE unit = 0 INTERSECT SELECT query_id, row_id FROM hits WHERE unit = 1""")
 def allof_intersection(spark, sf_dir):
-    hits = match.exact_hits(match.units(asked(spark)), posted(spark, sf_dir))
+    hits = match.exact_hits(match.units(asked(spark, sf_dir)), posted(spark, sf_dir))
     part = lambda k: hits.filter(F.col("unit") == k).select("query_id", "row_id")
     return part(0).intersect(part(1))
 
@@ -180,7 +182,7 @@ def allof_intersection(spark, sf_dir):
 @query(f"""WITH {_UNITS}, {_POSTED}, hits AS (SELECT DISTINCT query_id, unit, row_id FROM units JOIN posted ON word = term)
     SELECT query_id, row_id FROM hits WHERE unit = 0 EXCEPT SELECT query_id, row_id FROM hits WHERE unit = 1""")
 def set_difference(spark, sf_dir):
-    hits = match.exact_hits(match.units(asked(spark)), posted(spark, sf_dir))
+    hits = match.exact_hits(match.units(asked(spark, sf_dir)), posted(spark, sf_dir))
     part = lambda k: hits.filter(F.col("unit") == k).select("query_id", "row_id")
     return part(0).exceptAll(part(1)).distinct()
 
@@ -194,7 +196,7 @@ _RANKED = f"""{_TIERS}, r AS (SELECT query_id, row_id, row_number() OVER (PARTIT
 
 def _gathered(spark, sf_dir):
     keys = rows(spark, sf_dir).select(F.col("id").alias("row_id"), index.group_key(F.col("title")).alias("group_key"))
-    units = match.units(asked(spark))
+    units = match.units(asked(spark, sf_dir))
     found = match.tiers(match.best_hits(match.exact_hits(units, posted(spark, sf_dir))), units)
     return rank.gathered(rank.ranked(found).join(keys, "row_id"))
 
@@ -397,12 +399,12 @@ def isbn_key(spark, sf_dir):
     return _isbns(spark, sf_dir).select("p_partkey", native.isbn_key(F.col("ten")).alias("of_ten"), native.isbn_key(F.col("thirteen")).alias("of_thirteen"))
 
 
-@query(f"""WITH {_ISBNS}, f AS (SELECT p_partkey, unnest([ten, thirteen]) AS form FROM i) SELECT DISTINCT q.start, p_partkey FROM f JOIN (SELECT left(ten, 7) AS start FROM i WHERE p_partkey % 50 = 1) q
+@query(f"""WITH {_ISBNS}, f AS (SELECT p_partkey, unnest([ten, thirteen]) AS form FROM i) SELECT DISTINCT q.start, p_partkey FROM f JOIN (SELECT left(ten, 7) AS start FROM i WHERE p_partkey % 100 = 0) q
     ON starts_with(form, q.start)""")
 def isbn_prefix_search(spark, sf_dir):
     own = _isbns(spark, sf_dir)
     forms = own.select("p_partkey", F.explode(native.isbn_forms(F.col("ten"))).alias("form")).withColumn("block", F.substring("form", 1, 6))
-    typed = own.filter("p_partkey % 50 = 1").select(F.substring("ten", 1, 7).alias("start")).withColumn("block", F.substring("start", 1, 6))
+    typed = own.filter("p_partkey % 100 = 0").select(F.substring("ten", 1, 7).alias("start")).withColumn("block", F.substring("start", 1, 6))
     return typed.join(forms, "block").filter(F.col("form").startswith(F.col("start"))).select("start", "p_partkey").distinct()
 
 

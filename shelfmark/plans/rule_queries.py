@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import folding, isbn, native
 from ..operators import find, index, match, quality, rules
-from .catalogue import _ISBNS, _POSTED, _TIERS, _UNITS, _WORDS, _isbns, asked, posted, query, rows, table, tiered_search
+from .catalogue import ASKED, _ISBNS, _POSTED, _TIERS, _UNITS, _WORDS, _isbns, asked, posted, query, rows, table, tiered_search
 
 _GROUPS = f"k AS (SELECT p_partkey AS row_id, array_to_string(list_sort({_WORDS.format('p_name')}), ' ') AS group_key FROM part)"
 _TIERED = f"{_TIERS}, t AS (SELECT query_id, row_id, CASE WHEN strong = required THEN 3 ELSE 1 END AS tier, required FROM found WHERE strong * 2 >= required)"
@@ -18,20 +18,21 @@ def group_promotion(spark, sf_dir):
     return rules.promoted(tiered_search(spark, sf_dir).join(keys, "row_id")).select("query_id", "row_id", "tier")
 
 
-@query(f"""{_TIERED}, r AS (SELECT query_id, 0 AS run, row_id, tier FROM t WHERE row_id % 3 <> 0 UNION ALL SELECT query_id, 1 AS run, row_id, 2 AS tier FROM t WHERE row_id % 2 = 0)
+@query(f"""{_TIERED}, r AS (SELECT query_id, 0 AS run, row_id, tier FROM t UNION ALL SELECT DISTINCT query_id, 1, row_id, 2 FROM hits WHERE unit = 1)
     SELECT query_id, row_id, tier, run FROM (SELECT *, row_number() OVER (PARTITION BY query_id, row_id ORDER BY tier DESC, run) AS n FROM r) WHERE n = 1""")
 def merge_runs(spark, sf_dir):
-    found = tiered_search(spark, sf_dir)
-    base = found.filter("row_id % 3 <> 0").select("query_id", F.lit(0).alias("run"), "row_id", "tier")
-    other = found.filter("row_id % 2 = 0").select("query_id", F.lit(1).alias("run"), "row_id", F.lit(2).alias("tier"))
-    return rules.merged_runs(base.unionByName(other)).select("query_id", "row_id", "tier", "run")
+    """A query's run, and one that finds what its second word hits."""
+    base = tiered_search(spark, sf_dir).select("query_id", F.lit(0).alias("run"), "row_id", "tier")
+    units = match.units(asked(spark, sf_dir))
+    second = match.exact_hits(units.filter("unit = 1 AND required"), posted(spark, sf_dir)).select("query_id", F.lit(1).alias("run"), "row_id", F.lit(2).alias("tier")).distinct()
+    return rules.merged_runs(base.unionByName(second)).select("query_id", "row_id", "tier", "run")
 
 
 @query(f"""WITH {_UNITS}, {_POSTED}, h AS (SELECT query_id, row_id, unit, min(wi) AS wi FROM units JOIN posted ON word = term GROUP BY 1, 2, 3),
     s AS (SELECT *, wi - lag(wi) OVER (PARTITION BY query_id, row_id ORDER BY unit) AS step FROM h)
     SELECT query_id, row_id, CAST(coalesce(min(CASE WHEN step = 1 THEN 2 WHEN step > 1 THEN 1 WHEN step IS NOT NULL THEN 0 END), 1) AS INTEGER) AS in_order FROM s GROUP BY 1, 2""")
 def words_in_order(spark, sf_dir):
-    best = match.best_hits(match.exact_hits(match.units(asked(spark)), posted(spark, sf_dir)))
+    best = match.best_hits(match.exact_hits(match.units(asked(spark, sf_dir)), posted(spark, sf_dir)))
     return rules.in_order(best.select("query_id", "row_id", "unit", "wi"))
 
 
@@ -53,9 +54,9 @@ def acronym_terms(spark, sf_dir):
 
 
 @query(f"""{_TIERED}, q AS (SELECT DISTINCT query_id FROM {{0}}), b AS (SELECT query_id, max(tier) AS tier FROM t GROUP BY 1)
-    SELECT CASE tier WHEN 3 THEN 'listed' WHEN 2 THEN 'close' WHEN 1 THEN 'possible' ELSE 'none' END AS outcome, count(*) AS lines FROM q LEFT JOIN b USING (query_id) GROUP BY 1""".format("(VALUES (1), (2), (3), (4), (5), (6), (7), (8), (9)) AS v(query_id)"))
+    SELECT CASE tier WHEN 3 THEN 'listed' WHEN 2 THEN 'close' WHEN 1 THEN 'possible' ELSE 'none' END AS outcome, count(*) AS lines FROM q LEFT JOIN b USING (query_id) GROUP BY 1""".format(ASKED))
 def paste_tally(spark, sf_dir):
-    return rules.tally(asked(spark), tiered_search(spark, sf_dir))
+    return rules.tally(asked(spark, sf_dir), tiered_search(spark, sf_dir))
 
 
 @query("""WITH e AS (SELECT l_orderkey AS id, l_linenumber * 10 AS s, l_linenumber * 10 + CAST(l_quantity AS INTEGER) AS e FROM lineitem),
@@ -100,7 +101,7 @@ def section_carry_forward(spark, sf_dir):
 
 @query(f"WITH {_UNITS}, {_POSTED} SELECT query_id, row_id, count(*) AS hits FROM (SELECT query_id, row_id FROM units JOIN posted ON word = term UNION ALL SELECT query_id, row_id FROM units JOIN posted ON last AND length(word) >= 3 AND starts_with(term, word) AND length(term) > length(word)) GROUP BY 1, 2")
 def union_lookups(spark, sf_dir):
-    units, own = match.units(asked(spark)), posted(spark, sf_dir)
+    units, own = match.units(asked(spark, sf_dir)), posted(spark, sf_dir)
     return match.exact_hits(units, own).unionByName(match.prefix_hits(units, own)).groupBy("query_id", "row_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
