@@ -108,19 +108,19 @@ def search_prefix_last_word(spark, sf_dir):
     return match.prefix_hits(match.units(asked(spark, sf_dir)), own).join(own, ["row_id", "field", "wi"]).select("query_id", "row_id", "term")
 
 
-_NEAR = """WITH b AS (SELECT DISTINCT unnest({w0}) AS word FROM benchmark), d AS (SELECT DISTINCT unnest({w1}) AS term FROM benchmark),
+_NEAR = """WITH b AS (SELECT DISTINCT unnest({w0}) AS word FROM benchmark), d AS (SELECT DISTINCT unnest({w1}) AS term FROM {listed}),
 p AS (SELECT word, term, CASE WHEN least(length(word), length(term)) <= 3 THEN 0 WHEN least(length(word), length(term)) <= 7 THEN 1 ELSE 2 END AS k
       FROM b, d WHERE word <> term AND length(word) >= 4 AND length(term) >= 4 AND (substr(word, 1, 1) = substr(term, 1, 1) OR substr(word, 2, 1) = substr(term, 2, 1)))
 SELECT word, term, CAST(levenshtein(word, term) AS INTEGER) AS edits FROM p WHERE abs(length(word) - length(term)) <= k AND levenshtein(word, term) <= k"""
 
 
-@query(_NEAR.format(w0=_WORDS.format("text"), w1=_WORDS.format("text")))
+@query(_NEAR.format(w0=_WORDS.format("text"), w1=_WORDS.format("text"), listed="documents"))
 def search_fuzzy_levenshtein_block(spark, sf_dir):
     words = table(spark, sf_dir, "benchmark").select(F.explode(native.words(F.col("text"))).alias("word")).distinct()
-    return match.near_terms(words, words.select(F.col("word").alias("term")), plain_levenshtein=True)
+    return match.near_terms(words, _vocabulary(spark, sf_dir).select(F.col("word").alias("term")), plain_levenshtein=True)
 
 
-@query(_NEAR.format(w0=_WORDS.format("text"), w1=_WORDS.format("text")).replace("levenshtein", "damerau_levenshtein"))
+@query(_NEAR.format(w0=_WORDS.format("text"), w1=_WORDS.format("text"), listed="benchmark").replace("levenshtein", "damerau_levenshtein"))
 def search_fuzzy_osa(spark, sf_dir):
     words = table(spark, sf_dir, "benchmark").select(F.explode(native.words(F.col("text"))).alias("word")).distinct()
     return match.near_terms(words, words.select(F.col("word").alias("term")))

@@ -36,12 +36,12 @@ def words_in_order(spark, sf_dir):
     return rules.in_order(best.select("query_id", "row_id", "unit", "wi"))
 
 
-_PAIRS = "(VALUES (1, 'red', 'widget'), (2, 'widget', 'red'), (3, 'new', 'bolt'))"
+_PAIRS = "(SELECT p_partkey, split_part(p_name, ' ', 1 + CAST(floor(p_partkey / 100) AS INTEGER) % 2), split_part(p_name, ' ', 2 - CAST(floor(p_partkey / 100) AS INTEGER) % 2) FROM {part} WHERE p_partkey % 100 = 0)"
 
 
-@query(f"WITH {_POSTED} SELECT DISTINCT pair_id, a.row_id FROM {_PAIRS} AS p(pair_id, first, second) JOIN posted a ON a.term = first JOIN posted b ON b.row_id = a.row_id AND b.wi = a.wi + 1 AND b.term = second")
+@query(f"WITH {_POSTED} SELECT DISTINCT pair_id, a.row_id FROM {_PAIRS.format(part='part')} AS p(pair_id, first, second) JOIN posted a ON a.term = first JOIN posted b ON b.row_id = a.row_id AND b.wi = a.wi + 1 AND b.term = second")
 def adjacent_words(spark, sf_dir):
-    return rules.adjacent(posted(spark, sf_dir), spark.sql(f"SELECT pair_id, first, second FROM {_PAIRS[:-1]}) AS p(pair_id, first, second)"))
+    return rules.adjacent(posted(spark, sf_dir), spark.sql(f"SELECT pair_id, first, second FROM {_PAIRS} AS p(pair_id, first, second)", part=table(spark, sf_dir, "part")))
 
 
 @query(f"""WITH b AS (SELECT item_id, {_WORDS.format('text')} AS ws FROM benchmark), d AS (SELECT DISTINCT unnest({_WORDS.format('text')}) AS term FROM documents),
