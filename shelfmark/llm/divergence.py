@@ -170,9 +170,9 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> Dat
     parts = left.groupBy("lang", "shard").cogroup(right.groupBy("lang", "shard")).applyInArrow(shares, "lang string, source string, part string, item string, value bigint")
     parts = staged(parts, "parts")
     pairs = parts.filter("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    order = W.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-    every = pairs.unionByName(parts.filter("part = 'term'"))
-    return every.withColumn("rank", F.row_number().over(order)).filter(f"part = 'pair' OR rank <= {int(top)}")
+    rank = F.row_number().over(W.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
+    best = parts.filter("part = 'term'").withColumn("rank", rank).filter(F.col("rank") <= top)  # cut within tasks before the exchange
+    return pairs.withColumn("rank", rank).unionByName(best)
 
 
 ORACLE_SQL = f"""
