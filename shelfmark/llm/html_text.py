@@ -9,6 +9,10 @@ middling density stay open. Pass two gives each open block the label of the near
 earlier one at equal distance, headings that of the next one; with none decided it is good if it is in an article, or if the
 page has none. Where a page has an article or main element with text, only long prose outside of it is good.
 
+Names alone never take all of a page's text: where nothing but headings is left, and elements that only their names
+condemn hold a block of SHORT characters, the outermost of these are pardoned (a wrapper with a class of "has-sidebar"), those within them not, and
+so on. A page is in a language of the lists only if its blocks that are outweigh those that read as sentences in none of them.
+
 Character references are decoded once; white space inside a block, line breaks too, becomes one space; blocks without text
 go; the rest is joined in page order by a newline. Null, empty and text-free pages give the empty text. Broken markup is
 read as far as it goes: stray end tags are skipped, an unclosed comment or script lasts to the end. Repeated rows and equal
@@ -20,7 +24,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -76,26 +80,29 @@ class Block:
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
+    names: int = 0  # how many elements that only their names condemn it is in
 
 
-def _named_bad(attributes: str, inside: bool) -> bool:
+def _condemned(attributes: str, inside: bool) -> str:
+    """What speaks against an element: "set apart" (hidden, or by its role), "named", or nothing."""
+    named = ""
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
-            return True
+            return "set apart"
         if name == "role" and value.lower() in BAD_ROLE:
-            return True
+            return "set apart"
         if name in ("class", "id"):
             parts = {p.lower() for p in _PART.findall(value)}
             if parts & BAD_NAME or not inside and parts & BAD_NAME_OUTSIDE:
-                return True
-    return False
+                named = "named"
+    return named
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # element, in boilerplate, article
+    stack: list[tuple[str, bool, int, int]] = []  # element, in boilerplate, article, condemned names
     articles, links, quotes = 0, 0, True
     now = Block(0, False)
 
@@ -105,8 +112,8 @@ def blocks(page: str) -> list[Block]:
             now.text = " ".join(html.unescape("".join(now.pieces)).split())
             if now.text:
                 out.append(now)
-        name, bad, article = stack[-1] if stack else ("", False, 0)
-        now = Block(article, bad, name in HEADING)
+        name, bad, article, names = stack[-1] if stack else ("", False, 0, 0)
+        now = Block(article, bad, name in HEADING, names=names)
 
     def close(name: str, bounded: bool) -> None:
         nonlocal links
@@ -175,14 +182,16 @@ def blocks(page: str) -> list[Block]:
                 close(name, True)
         if name in VOID or attributes.endswith("/") and name not in BLOCK and not _UNQUOTED.search(attributes):
             continue
-        _, bad, article = stack[-1] if stack else ("", False, 0)
+        _, bad, article, names = stack[-1] if stack else ("", False, 0, 0)
         if name in ("article", "main") and not article:
             articles += 1
             article = articles
-        bad = bad or name in BOILERPLATE or name == "header" and not article or bool(attributes) and name not in ("html", "body", "article", "main") and _named_bad(attributes, bool(article))
+        against = _condemned(attributes, bool(article)) if attributes and name not in ("html", "body", "article", "main") else ""
+        bad = bad or name in BOILERPLATE or name == "header" and not article or against == "set apart"
+        names += against == "named"
         links += name == "a"
-        stack.append((name, bad, article))
-        if name in BLOCK or bad != now.bad:
+        stack.append((name, bad, article, names))
+        if name in BLOCK or bad != now.bad or names != now.names:
             flush()
     flush()
     return out
@@ -203,9 +212,24 @@ def script(text: str) -> tuple[int, bool]:
 
 def decided(found: list[Block]) -> list[bool]:
     """Whether each block belongs to the main text."""
+    pardoned, most = 0, max((b.names for b in found if not b.bad), default=0)
+    if not most:
+        return _decided(found)
+    while True:
+        good = _decided([replace(b, bad=b.bad or b.names > pardoned) for b in found])
+        held = any(b.names > pardoned and not b.bad and len(b.text) >= SHORT for b in found)
+        if pardoned == most or not held or any(g and not b.heading for b, g in zip(found, good, strict=True)):
+            return good
+        pardoned += 1
+
+
+def _decided(found: list[Block]) -> list[bool]:
     has_article = any(b.article and not b.bad for b in found)
     density = [0.0 if b.bad else stop_density(b.text) for b in found]
-    known = any(d >= STOP_DENSITY and len(b.text) >= SHORT for b, d in zip(found, density, strict=True))
+    prose = [(b, d) for b, d in zip(found, density, strict=True) if len(b.text) >= SHORT and not b.bad]
+    read = sum(len(b.text) for b, d in prose if d >= STOP_DENSITY)
+    unread = sum(len(b.text) for b, d in prose if d < STOP_DENSITY / 2 and b.text[-1] in SENTENCE_ENDS and b.linked <= LINK_DENSITY * len(b.text) and (b.text.isascii() or not script(b.text)[1]))
+    known = read > 0 and read >= unread
     label: list[bool | None] = []
     for b, d in zip(found, density, strict=True):
         if b.bad or b.linked > LINK_DENSITY * max(len(b.text), 1) or b.text[0] == "©":

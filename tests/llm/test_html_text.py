@@ -55,3 +55,45 @@ def test_rows(spark):
 
 def test_markup_never_stays():
     assert not re.search("<|>", extract("<article>" + "<p class='x'>text <i>of</i> it</p>" * 9 + "</article>"))
+
+
+PROSE = "The people of the house by the sea said that it was a good year for them, and that the winter would not be as cold as the last one was. " * 3
+P = PROSE.strip()
+POLISH = ["Zimą mieszkańcy małego miasteczka zbierali drewno, gotowali gorące zupy i opowiadali dzieciom dawne historie.", "Wieczorami rozpalali ogniska, śpiewali stare pieśni oraz wspominali wszystkich, którzy wyjechali daleko za morze.", "Wiosną wracały bociany, rzeka wylewała szeroko, a łąki pachniały świeżą trawą i mokrą ziemią."]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class='has-sidebar content'><p>{P}</p></div>", P),
+        (f"<div class='post no-comments'><article><p>{P}</p></article></div>", P),
+        (f"<div id=top><p>{P}</p></div>", P),
+        (f"<div class='search-result-article'><p>{P}</p></div>", P),
+        (f"<article><div class='elementor-widget-container'><p>{P}</p></div></article>", P),
+        (f"<div id=top><div class='page has-sidebar'><article><p>{P}</p></article><div class=sidebar><div class=widget><p>{P}</p></div></div></div></div>", P),
+        (f"<body class=x><div class=page-top><p>{P}</p><section id=comments><p>{P}</p></section></div>", P),  # what is named within the wrapper still goes
+        (f"<h1>Title</h1><div class='content-with-sidebar'><p>{P}</p></div><footer>{P}</footer>", f"Title\n{P}"),
+        (f"<p>{P}</p><div class=comments><p>{P}</p><p>{P}</p></div>", P),  # there is a text without them
+        ("<div class=advert><p>Buy it now</p></div>", ""),
+        (f"<div role=navigation><p>{P}</p></div>", ""),
+        ("<div>" + "".join(f"<p>{x}</p>" for x in POLISH) + "<p>This text is published under the terms of the licence that is in the file with it, and may be used by all of you for that.</p></div>", "\n".join([*POLISH, "This text is published under the terms of the licence that is in the file with it, and may be used by all of you for that."])),
+        (f"<div><p>{P}</p><p>Copyright 2020 Example Incorporated. Reproduction prohibited without written permission. Privacy policy.</p></div>", P),
+    ],
+)
+def test_names_and_other_languages_take_no_text(page, text):
+    assert extract(page) == text
+
+
+def test_pardons_against_the_rule():
+    """The pardon tried by hand: the fewest outer names that leave more than headings."""
+    import itertools
+    from dataclasses import replace
+
+    from shelfmark.llm import html_text
+
+    for names in itertools.product(["main-text", "sidebar wrap", "top"], repeat=3):
+        page = f"<div class='{names[0]}'><h2>Head</h2><div class='{names[1]}'><p>Short.</p><div class='{names[2]}'><p>{P}</p></div></div></div>"
+        found = html_text.blocks(page)
+        tried = [html_text._decided([replace(b, bad=b.bad or b.names > k) for b in found]) for k in range(4)]
+        more = [k for k, good in enumerate(tried) if any(g and not b.heading for b, g in zip(found, good, strict=True))]
+        assert html_text.decided(found) == tried[min(more)] and extract(page)
