@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged, unstage
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(node, root) of every node that has an edge; edges: (u, v) of any type that has an order.
 
     In each round every node hands its larger neighbours, and then its smaller ones, to the least node it knows; the
-    rounds needed grow with the logarithm of a component's size. Each round is staged; one flag reaches the driver.
+    rounds needed grow with the logarithm of a component's size. Each round is staged; one flag reaches the driver. Rounds go on
+    until every component is a star; with `most_rounds`, more than that are an error, never a partial result.
     """
     now = staged(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    for _ in range(rounds):
+    for done in itertools.count(1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -28,4 +31,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         sides = ends.groupBy("n").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
         if sides.filter("below > 1 or below > 0 and above > 0").isEmpty():  # stars: each node hangs on one root
             break
+        if most_rounds is not None and done >= most_rounds:
+            raise RuntimeError(f"components are no stars after {done} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

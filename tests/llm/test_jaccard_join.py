@@ -93,3 +93,12 @@ def test_no_name_of_a_column_clashes(spark):
     out = jaccard_join.deduplicated(spark.createDataFrame(rows, schema))
     assert out.columns == ["doc_id", "text", *names]
     assert sorted(map(tuple, out.collect())) == [r for r in rows if r[0] != 3]
+
+
+def test_components_are_whole_or_an_error(spark):
+    import pytest
+
+    edges = spark.createDataFrame([(k, k + 1) for k in range(300)], "u int, v int").repartition(3)
+    assert {r.root for r in components.components(edges).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components.components(edges, most_rounds=1)
