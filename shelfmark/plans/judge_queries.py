@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions import folding, native, people
 from ..functions.vocabulary import ASKING, FORMAT, LABELS, PUBLISHER, QUESTION, ROLE, SMALL
-from ..operators import changes, highlight, index, judge, labels, linediff, match
+from ..operators import changes, highlight, index, judge, labels, linediff, match, screen
 from ..sources import readers
 from .catalogue import _WORDS, _versions, query, table
 
@@ -258,3 +258,45 @@ def tabs_with_errors(spark, sf_dir):
     found = records.groupBy("tab").agg(F.count(F.lit(1)).alias("records"))
     own = nation.select(F.col("n_nationkey").alias("gid"), F.col("n_name").alias("tab"))
     return own.join(errors.select("tab", "kind"), "tab", "left").join(found, "tab", "left").select("gid", "tab", "kind", F.coalesce("records", F.lit(0)).alias("records"))
+
+
+_ITEM = """SELECT o_orderkey AS item_id, o_orderpriority AS tab, CASE o_orderkey % 4 WHEN 0 THEN title WHEN 1 THEN substr(title, 1, 1) || substr(title, 3) WHEN 2 THEN n2 || ' say cheese' ELSE title || ' zork' END AS title,
+  CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN author ELSE 'zork blim' END AS author FROM {orders} JOIN ({made}) m ON m.id = o_orderkey % 200"""
+_KEYED = "regexp_replace(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), '^(the|a|an) ', '')"
+_FOUND = f"""WITH l AS ({_MADE.format(part='part')}), i AS (SELECT item_id, tab, title, author, {_KEYED.format('title')} AS key, regexp_replace(author, '[^a-z0-9]', '', 'g') AS ia FROM ({_ITEM.format(orders='orders', made=_MADE.format(part='part'))})),
+r AS (SELECT id AS row_id, title AS listed, author AS listed_author, id % 7 = 4 AS series, n2, {_KEYED.format('title')} AS rk, regexp_replace(author, '[^a-z0-9]', '', 'g') AS ra FROM l),
+k AS (SELECT DISTINCT key, ia FROM i), kk AS (SELECT DISTINCT key, string_split(key, ' ') AS ws FROM k), rr AS (SELECT DISTINCT rk, string_split(rk, ' ') AS rs FROM r),
+d AS (SELECT key, rk, list_filter(list_zip(ws, rs), lambda x: x[1] <> x[2]) AS diff FROM kk JOIN rr ON len(ws) = len(rs) AND key <> rk),
+n AS (SELECT key, rk FROM (SELECT key, rk, diff[1][1] AS a, diff[1][2] AS b FROM d WHERE len(diff) = 1) WHERE least(length(a), length(b)) >= 4 AND (substr(a, 1, 1) = substr(b, 1, 1) OR substr(a, 2, 1) = substr(b, 2, 1))
+  AND damerau_levenshtein(a, b) <= CASE WHEN least(length(a), length(b)) <= 7 THEN 1 ELSE 2 END AND abs(length(a) - length(b)) <= CASE WHEN least(length(a), length(b)) <= 7 THEN 1 ELSE 2 END),
+ins AS (SELECT key, rk FROM kk JOIN rr ON key <> rk AND len(list_distinct(rs)) >= 2 AND list_has_all(ws, rs)),
+h AS (SELECT key, ia, row_id, CASE WHEN ia = '' OR ra = '' THEN 4 WHEN ia = ra THEN 5 ELSE 2 END AS reason FROM k JOIN r ON key = rk
+  UNION ALL SELECT k.key, ia, row_id, 1 FROM k JOIN n USING (key) JOIN r USING (rk) WHERE ia = '' OR ra = '' OR ia = ra
+  UNION ALL SELECT k.key, ia, row_id, 0 FROM k JOIN ins USING (key) JOIN r USING (rk)
+  UNION ALL SELECT k.key, ia, row_id, 3 FROM k JOIN kk USING (key) JOIN r ON series AND list_contains(ws, n2)),
+b AS (SELECT key, ia, row_id, max(reason) AS reason FROM h GROUP BY 1, 2, 3),
+p AS (SELECT *, row_number() OVER (PARTITION BY key, ia ORDER BY reason DESC, row_id) AS place, count(*) OVER (PARTITION BY key, ia) AS total FROM b),
+f AS (SELECT item_id, tab, title, author, p.* FROM i JOIN p USING (key, ia) WHERE place <= 5)"""
+
+
+def _findings(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = listed(spark, sf_dir).select(F.col("id").alias("row_id"), "title", "author")
+    items = spark.sql(_ITEM.format(orders="{orders}", made=_MADE), orders=table(spark, sf_dir, "orders"), part=table(spark, sf_dir, "part"))
+    covers = F.pandas_udf(folding._by_distinct(people.covers_series), T.BooleanType())
+    return screen.findings(items, rows, judge.series_names(rows.select("row_id", "title"), covers("title"))), items, rows
+
+
+@query(f"{_FOUND} SELECT item_id, tab, CAST(place AS INTEGER) AS place, row_id, CAST(reason AS INTEGER) AS reason, CASE WHEN reason >= 3 THEN 'likely' ELSE 'look' END AS strength, CAST(greatest(total - 5, 0) AS BIGINT) AS more FROM f")
+def screening_findings(spark, sf_dir):
+    """Titles as listed, misspelt, of a series, and with a listed title within; each with its five best rows."""
+    return _findings(spark, sf_dir)[0]
+
+
+_WHY = "CASE reason " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in screen.REASONS.items()) + " END"
+
+
+@query(f"""{_FOUND}, g AS (SELECT item_id, CAST(place AS INTEGER) AS place, tab, title, author, CASE WHEN reason >= 3 THEN 'Likely banned' ELSE 'Worth a look' END AS result, r.listed, r.listed_author, {_WHY} AS why, total FROM f JOIN r USING (row_id))
+    SELECT item_id, place, tab, title, author, result, listed, listed_author, why FROM g UNION ALL SELECT item_id, 1073741824, tab, title, author, result, '…and ' || (total - 5) || ' more', '', '' FROM g WHERE place = 1 AND total > 5""")
+def screening_grid(spark, sf_dir):
+    """O5."""
+    return screen.result_grid(*_findings(spark, sf_dir))
