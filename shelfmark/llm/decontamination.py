@@ -21,6 +21,7 @@ are rows of their own. Empty tables give no rows. `clean` keeps further columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from math import ceil
 
 import numpy as np
@@ -40,8 +41,10 @@ LONG_RUN, ITEM_EVERY = 16, 4
 _UNSPACED = np.array([[0xE00, 0x10A0], [0x1780, 0x1800], [0x2E80, 0xAC00], [0xF900, 0xFB00], [0x20000, 0x40000]], np.uint32)
 #: Fewer candidates are verified one by one; of more, so many together.
 _FEW, _TOGETHER = 32, 1024
+#: Columns of the verification that are laid out at a time.
+_COLUMNS = 64
 #: Characters that are walked over together.
-_PIECE = 1 << 18
+_PIECE = 1 << 19
 
 
 def walk_starts(chars: np.ndarray, at: np.ndarray, every: int) -> np.ndarray:
@@ -81,7 +84,7 @@ class Plan:
 
 
 #: By the least length of their items. Windows of an item's own size have OWN_REPETITIONS.
-PLANS = [Plan(150, 32, 6, (3, 5, 8, 12), 2), Plan(80, 28, 10, (3, 5, 8, 11), 2), Plan(40, 24, 7, (3, 5, 7, 9), 1), Plan(0, 16, 12, (4, 6), 1)]
+PLANS = [Plan(150, 32, 6, (5, 7, 9, 12), 2), Plan(80, 28, 10, (4, 6, 8, 11), 2), Plan(40, 24, 7, (3, 5, 7, 9), 1), Plan(0, 16, 12, (4, 6), 1)]
 STEPS, OWN_REPETITIONS = max(plan.steps for plan in PLANS), 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(0x3002, bool)
@@ -93,7 +96,7 @@ def normalized(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
     data, offsets = hashing.buffers(texts)
     for a, b in hashing.groups(offsets):
         points, at = hashing.code_points(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower=True)
-        space = _SPACE[np.minimum(points, 0x3001)]
+        space = _SPACE.take(points, mode="clip")
         again = np.zeros(len(points), bool)
         again[1:] = space[1:] & space[:-1]
         starts = at[:-1][at[:-1] < len(points)]
@@ -102,42 +105,77 @@ def normalized(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         yield a, b, np.where(space, 32, points)[kept].astype(np.uint32), np.searchsorted(kept, at), np.append(kept, len(points)) if len(points) else np.zeros(1, np.int64)
 
 
+def _mixed(chars: np.ndarray, seed: np.uint32) -> np.ndarray:
+    x = (chars.astype(np.uint32) ^ seed) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return x ^ x >> np.uint32(16)
+
+
+@cache
+def _common(seed: int) -> np.ndarray:
+    return _mixed(np.arange(1 << 16), np.uint32(seed))
+
+
 def _symbols(chars: np.ndarray, seed: np.uint32) -> np.ndarray:
     """32 random bits for each character, 0 beyond the end. Bit t says whether a walk moves on at step t."""
-    x = (chars ^ seed) * np.uint32(0x85EBCA6B)
-    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-    x ^= x >> np.uint32(16)
     out = np.zeros(len(chars) + STEPS + 1, np.uint32)
-    out[: len(chars)] = x
+    _common(int(seed)).take(chars, mode="clip", out=out[: len(chars)])
+    if len(chars) and chars.max() >= 1 << 16:
+        rare = np.flatnonzero(chars >= 1 << 16)
+        out[rare] = _mixed(chars[rare], seed)
     return out
 
 
-def walk(symbols: np.ndarray, starts: np.ndarray, repetition: int, size: int, plan: Plan, tables: list[np.ndarray] | None = None):
+class Path:
+    """What walks of one seed read from their starts, step by step: kept for the plans that have the seed in common."""
+
+    def __init__(self, symbols: np.ndarray, starts: np.ndarray) -> None:
+        self.symbols, self.starts, self.pointer = symbols, starts.astype(np.int32), starts.astype(np.int32)
+        self.steps: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def read(self, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """(pointers, symbols under them) of all walks at a step."""
+        while len(self.steps) <= step:
+            c = self.symbols.take(self.pointer, mode="clip")
+            self.steps.append((self.pointer, c))
+            self.pointer = self.pointer + _moves(c, len(self.steps) - 1)
+        return self.steps[step]
+
+
+def _moves(c: np.ndarray, step: int) -> np.ndarray:
+    on = c >> np.uint32(step)
+    on &= np.uint32(1)
+    return on.view(np.int32)
+
+
+def walk(symbols: np.ndarray, starts: np.ndarray, repetition: int, size: int, plan: Plan, tables: list[np.ndarray] | None = None, path: Path | None = None):
     """Without tables the keys at each stage; with tables (places among starts, keys) of the walks that pass every stage's table."""
-    pointer, alive = starts.astype(np.int32), None
-    own = size < plan.steps
-    end = pointer + size
-    key = np.full(len(starts), min(size, plan.steps), np.uint64)
+    path = path or Path(symbols, starts)
+    alive, own, end = None, size < plan.steps, path.starts + size
+    key = np.full(len(end), min(size, plan.steps), np.uint64)
     stages, sample, n = [], plan.samples[repetition].tolist(), 0
     for step in range(sample[-1] + 1):
-        c = symbols.take(pointer, mode="clip")
+        if alive is None:
+            pointer, c = path.read(step)
+        else:
+            c = symbols.take(pointer, mode="clip")
         if own:
             c = np.where(pointer < end, c, np.uint32(0))
         if step == sample[n]:
-            key ^= c
+            key ^= c.astype(np.uint64)
             key *= _ODD
-            key ^= key >> np.uint64(29)
             n += 1
             if n in plan.stages:
                 if tables is None:
                     stages.append(key.copy())
                 else:
                     table = tables[plan.stages.index(n)]
-                    passes = np.flatnonzero(table.take(_places(key, len(table))))
-                    pointer, key, c = pointer[passes], key[passes], c[passes]
-                    alive = passes if alive is None else alive[passes]
-                    end = end[passes] if own else end
-        pointer += (c >> np.uint32(step) & np.uint32(1)).astype(np.int32)
+                    passes = np.flatnonzero(table.take(_places(key, len(table)), mode="clip"))
+                    pointer, key, c = pointer.take(passes), key.take(passes), c.take(passes)
+                    alive = passes if alive is None else alive.take(passes)
+                    end = end.take(passes) if own else end
+        if alive is not None:
+            pointer += _moves(c, step)
     return stages if tables is None else (alive, key)
 
 
@@ -150,7 +188,9 @@ def _table(keys: np.ndarray) -> np.ndarray:
 
 
 def _places(keys: np.ndarray, size: int) -> np.ndarray:
-    return (keys * _ODD >> np.uint64(65 - size.bit_length())).astype(np.int64)
+    places = keys * _ODD
+    places >>= np.uint64(65 - size.bit_length())
+    return places.view(np.int64)
 
 
 class Items:
@@ -190,6 +230,7 @@ class Items:
                 stages = walk(symbols, first[flat[:, 0]] + flat[:, 1], repetition, size, plan)
                 order = np.argsort(stages[-1], kind="stable")
                 self.walks.append((plan, size, repetition, [np.unique(k) for k in stages[:-1]], stages[-1][order], flat[order, 0], flat[order, 1]))
+        self.walks.sort(key=lambda x: x[2])  # plans share the seeds of their repetitions
         self.tables = self.masks = None
 
     def __getstate__(self) -> dict:
@@ -234,12 +275,13 @@ class Items:
         """(text, item, about where the item would start, place of the anchor in it) of the walks that an item has too."""
         starts = walk_starts(chars, at, 1)
         found = [np.zeros((4, 0), np.int64)]
-        seen: dict[int, np.ndarray] = {}
+        seed, wide = None, chars.astype(np.intp)  # as numpy takes places
         for (plan, size, repetition, _, keys, items, places), tables in zip(self.walks, self.tables, strict=True):
-            seed = int(plan.seeds[repetition])
-            if seed not in seen:
-                seen[seed] = _symbols(chars, plan.seeds[repetition])
-            alive, key = walk(seen[seed], starts, repetition, size, plan, tables)
+            if seed != plan.seeds[repetition]:
+                seed = plan.seeds[repetition]
+                symbols = _symbols(wide, seed)
+                path = Path(symbols, starts)
+            alive, key = walk(symbols, starts, repetition, size, plan, tables, path)
             lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
             n = hi - lo
             which = np.repeat(np.arange(len(key)), n)
@@ -271,35 +313,53 @@ class Items:
         if len(distinct) > 1 and len(distinct) * blocks * len(letters) > 1 << 22:
             half = len(items) // 2
             return np.concatenate([self._distances(items[a], first[a], last[a], chars) for a in (slice(half), slice(half, None))])
-        masks = np.zeros((len(letters) + 1, blocks, len(distinct)), np.uint64)  # the last letter is any other
+        masks = np.zeros((blocks, len(letters) + 1, len(distinct)), np.uint64)  # the last letter is any other
         for n, k in enumerate(distinct):
             place = np.arange(size[n])
-            np.bitwise_or.at(masks, (np.searchsorted(letters, self.text[k]), place >> 6, n), np.uint64(1) << (place & 63).astype(np.uint64))
+            np.bitwise_or.at(masks, (place >> 6, np.searchsorted(letters, self.text[k]), n), np.uint64(1) << (place & 63).astype(np.uint64))
+        code = np.minimum(np.searchsorted(letters, chars), len(letters) - 1)
+        code = np.append(np.where(letters[code] == chars, code, len(letters)), len(letters))
+        layer = np.arange(blocks)[:, None] * masks[0].size
+        masks = masks.ravel()
         one, top = np.uint64(1), np.uint64(63)
         plus, minus = np.full((blocks, len(items)), ~np.uint64(0)), np.zeros((blocks, len(items)), np.uint64)
-        block, bit = (size[which] - 1) // 64, ((size[which] - 1) % 64).astype(np.uint64)
+        up, down = np.zeros_like(minus), np.zeros_like(minus)
+        last_block, bit = (size[which] - 1) // 64 * len(items) + np.arange(len(items)), ((size[which] - 1) % 64).astype(np.uint64)
         score = size[which].astype(np.int64)
         best = score.copy()
-        for step in range(int((last - first).max())):
-            pointer = first + step
-            c = chars[np.minimum(pointer, len(chars) - 1)]
-            code = np.minimum(np.searchsorted(letters, c), len(letters) - 1)
-            code = np.where((letters[code] == c) & (pointer < last), code, len(letters))
-            up = down = np.zeros(len(items), np.uint64)
-            for b in range(blocks):
-                eq, p, m = masks[code, b, which], plus[b], minus[b]
-                xv = eq | m
-                eq = eq | down
-                xh = (((eq & p) + p) ^ p) | eq
-                ph = m | ~(xh | p)
-                mh = p & xh
-                change = (ph >> bit & one).astype(np.int64) - (mh >> bit & one).astype(np.int64)
-                score += np.where(block == b, change, 0)
-                next_up, next_down = ph >> top, mh >> top
-                ph, mh = ph << one | up, mh << one | down
-                plus[b], minus[b] = mh | ~(xv | ph), ph & xv
-                up, down = next_up, next_down
-            np.minimum(best, score, out=best)
+        # All blocks at a time, each a column behind the one before it. Columns outside of a window hold no letter of an item, which leaves the start as it is and betters no end.
+        length = last - first
+        steps = int(length.max()) + blocks - 1
+        held = np.repeat((len(letters) * len(distinct) + which)[None], blocks - 1, axis=0)
+        for begin in range(0, steps, _COLUMNS):
+            column = np.arange(begin, min(begin + _COLUMNS, steps))[:, None]
+            grid = np.concatenate([held, code[np.where(column < length, first + column, len(chars))] * len(distinct) + which])
+            held = grid[len(column) :]
+            for k in range(len(column)):
+                eq = masks.take(grid[k : k + blocks][::-1] + layer)
+                xv = eq | minus
+                eq |= down
+                xh = eq & plus
+                xh += plus
+                xh ^= plus
+                xh |= eq
+                ph = xh | plus
+                np.invert(ph, out=ph)
+                ph |= minus
+                xh &= plus  # from here on the steps down
+                score += (ph.take(last_block) >> bit & one).view(np.int64)
+                score -= (xh.take(last_block) >> bit & one).view(np.int64)
+                np.minimum(best, score, out=best)
+                next_up, next_down = ph[:-1] >> top, xh[:-1] >> top
+                ph <<= one
+                ph |= up
+                xh <<= one
+                xh |= down
+                np.bitwise_or(xv, ph, out=plus)
+                np.invert(plus, out=plus)
+                plus |= xh
+                np.bitwise_and(ph, xv, out=minus)
+                up[1:], down[1:] = next_up, next_down
         return best
 
     def _verify(self, waiting: list[tuple], most_edits: float, out: dict[tuple[int, int], tuple[int, int, int]]) -> None:

@@ -194,3 +194,43 @@ def test_clean_keeps_columns_of_any_name(spark):
     bench = spark.createDataFrame([(1, "something else that is longer")], "item_id bigint, text string")
     out = D.clean(docs, bench)
     assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [(1, "abc", "u", 2.5), (2, None, "v", None)]
+
+
+def test_distances_of_many_windows_at_a_time():
+    """Windows of every size, items of one block to six together, and columns laid out in several pieces."""
+    rng = random.Random(12)
+    items = [(k, passage(rng, 60)[:n]) for k, n in enumerate((1, 2, 40, 63, 64, 65, 127, 128, 129, 200, 321, 380))]
+    index = D.Items(items)
+    which = [k for k in range(len(index.ids)) for _ in range(6)]
+    texts = [(passage(rng, 3) + edited(rng, items[k][1], rng.random() / 3) + passage(rng, 3)).lower()[: rng.randrange(1, 700)] for k in which]
+    last = np.cumsum([len(t) for t in texts])
+    chars = np.array([ord(c) for t in texts for c in t], np.uint32)
+    got = index._distances(np.array(which), np.append(0, last[:-1]), last, chars)
+    folded = ["".join(map(chr, index.text[k])) for k in which]
+    for item, text, distance in zip(folded, texts, got.tolist(), strict=True):
+        row = np.zeros(len(text) + 1, int)
+        codes = np.array([ord(c) for c in text])
+        for i, c in enumerate(item, 1):
+            full = np.concatenate([[i], np.minimum(row[:-1] + (codes != ord(c)), row[1:] + 1)])
+            row = np.minimum.accumulate(full - np.arange(len(full))) + np.arange(len(full))
+        assert distance == row.min(), (item, text)
+
+
+def test_plans_share_the_paths_of_their_seeds():
+    """Two plans whose repetitions have the same seeds read each step of the texts once."""
+    rng = random.Random(13)
+    index = D.Items([(0, passage(rng, 12)[:100]), (1, passage(rng, 30)[:200])])
+    made = []
+    path = D.Path
+
+    class Counted(path):
+        def __init__(self, *args):
+            made.append(1)
+            super().__init__(*args)
+
+    D.Path = Counted
+    try:
+        assert (0, 1) in index.search(pa.array([passage(rng, 20) + " " + "".join(map(chr, index.text[1]))]))
+    finally:
+        D.Path = path
+    assert len(made) == max(plan.repetitions for plan in D.PLANS[:2]) < len(index.walks)
