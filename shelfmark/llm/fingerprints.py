@@ -28,6 +28,8 @@ BINS, BITS = 256, 4
 STEPS = 512
 #: Ids that are sampled for each range.
 SAMPLED = 50
+#: Rows that are compared at a time.
+ROWS = 1024
 _SEQUENCE = np.random.default_rng(5).integers(0, BINS, (STEPS, BINS))
 
 
@@ -110,7 +112,7 @@ def neighbours(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     first ids reach the driver; where the ranges are cut doesn't change the result.
     """
     ids = docs.select("doc_id")
-    n = ranges or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2)
+    n = ranges or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     cuts = _cuts(ids, n)
     edges = F.array(*[F.lit(c).cast(kind) for c in cuts]) if cuts else F.array().cast(f"array<{kind}>")
@@ -168,7 +170,7 @@ def compared(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by range, each range's own in order and then its guest; a row waits for the one after it."""
         waiting: tuple | None = None
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             some = [(i, "" if t is None else t, p, g) for i, t, p, g in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "p", "guest")), strict=True)]
             run = ([waiting] if waiting else []) + some
             waiting = run[-1] if run and not run[-1][3] else None

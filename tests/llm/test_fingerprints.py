@@ -82,3 +82,16 @@ def test_ids_of_other_types(spark):
     some = [f"{r.doc_id} {r.edited_sha256}" for r in fingerprints.compared(docs, ranges=5).collect()]
     one = [f"{r.doc_id} {r.edited_sha256}" for r in fingerprints.compared(docs, ranges=1).collect()]
     assert sorted(some) == sorted(one) and len(one) == 22
+
+
+def test_no_more_ranges_than_shuffle_partitions(spark):
+    """Each range is a task that writes a file of its own."""
+    docs = spark.createDataFrame([(k, f"text {k} " * 3) for k in range(5000)], "doc_id bigint, text string")
+    out = fingerprints.neighbours(docs)
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert 1 < out.select("p").distinct().count() <= most
+    rows = fingerprints.compared(docs).collect()  # ranges of more rows than are compared at a time
+    assert sorted(r.doc_id for r in rows) == list(range(5000))
+    expected = fingerprints.packed(fingerprints.minima(pa.array([f"text {k} " * 3 for k in range(5000)])))
+    near = fingerprints.likeness(expected, np.roll(expected, -1, axis=0))
+    assert all(r.fingerprint == expected[r.doc_id].tobytes().hex() and r.near_next == near[r.doc_id] for r in rows)
