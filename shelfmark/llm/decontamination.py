@@ -40,9 +40,11 @@ LONG_RUN, ITEM_EVERY = 16, 4
 #: Scripts that set no spaces between words: Thai to Myanmar, Khmer, Chinese and Japanese.
 _UNSPACED = np.array([[0xE00, 0x10A0], [0x1780, 0x1800], [0x2E80, 0xAC00], [0xF900, 0xFB00], [0x20000, 0x40000]], np.uint32)
 #: Fewer candidates are verified one by one; of more, so many together.
-_FEW, _TOGETHER = 32, 1024
-#: Columns of the verification that are laid out at a time.
-_COLUMNS = 64
+_FEW, _TOGETHER = 32, 2048
+#: Characters of windows that wait for their verification.
+_HELD = 1 << 21
+#: Share of an item, in whole blocks of 64 characters, that is searched for first.
+_OPENING = 0.4
 #: Characters that are walked over together.
 _PIECE = 1 << 19
 
@@ -95,14 +97,17 @@ def normalized(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
     """(first, last, characters, offsets, place of each character in its group's texts) of groups of texts."""
     data, offsets = hashing.buffers(texts)
     for a, b in hashing.groups(offsets):
-        points, at = hashing.code_points(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower=True)
+        points, at = hashing.code_points(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        lower = hashing._LOWER.take(points, mode="clip")
+        points = lower if len(points) and points.max() < len(hashing._LOWER) else np.where(points < len(hashing._LOWER), lower, points)
         space = _SPACE.take(points, mode="clip")
         again = np.zeros(len(points), bool)
         again[1:] = space[1:] & space[:-1]
         starts = at[:-1][at[:-1] < len(points)]
         again[starts] = space[starts]  # no space at a text's start
-        kept = np.flatnonzero(~again)
-        yield a, b, np.where(space, 32, points)[kept].astype(np.uint32), np.searchsorted(kept, at), np.append(kept, len(points)) if len(points) else np.zeros(1, np.int64)
+        kept = np.append(np.flatnonzero(~again), len(points)) if len(points) else np.zeros(1, np.int64)
+        np.putmask(points, space, np.uint32(32))
+        yield a, b, points.take(kept[:-1]), np.searchsorted(kept[:-1], at), kept
 
 
 def _mixed(chars: np.ndarray, seed: np.uint32) -> np.ndarray:
@@ -290,82 +295,107 @@ class Items:
             found.append(np.stack([np.searchsorted(at, position, "right") - 1, items[entry], position - places[entry], places[entry]]))
         return np.concatenate(found, axis=1)
 
-    def _near(self, items: np.ndarray, windows: list[np.ndarray], most_edits: float) -> np.ndarray:
-        """Which windows hold their item: the verification's distance, for many windows at a time."""
-        if len(items) < _FEW:
-            return np.ones(len(items), bool)
-        size = self.sizes[items]
-        last = np.cumsum([len(w) for w in windows])
-        first, chars = np.append(0, last[:-1]), np.concatenate(windows)
+    def _near(self, waiting: list[tuple], most_edits: float) -> np.ndarray:
+        """Which windows may hold their item, for many windows at a time: those that are within the distance, or a few that the item's opening is.
+
+        The openings are searched for first, as they are no farther than the whole items are, in overlapping windows of a text at once.
+        """
+        if len(waiting) < _FEW:
+            return np.ones(len(waiting), bool)
+        which, items, windows = _joined(waiting)
+        opening = np.minimum(np.ceil(_OPENING * self.sizes / 64).astype(np.int64) * 64, self.sizes)
+        out = self._within(items, windows, opening, most_edits)[which]
+        left = np.flatnonzero(out)
+        if len(left) >= 4 * _FEW:
+            out[left] = self._within(np.array([waiting[k][1] for k in left]), [waiting[k][2] for k in left], self.sizes, most_edits)
+        return out
+
+    def _within(self, items: np.ndarray, windows: list[np.ndarray], sizes: np.ndarray, most_edits: float) -> np.ndarray:
+        """Whether so many of the items' first characters are in their windows within the whole items' edits."""
+        size, most = sizes[items], most_edits * self.sizes[items] + 1e-9
+        length = np.array([len(w) for w in windows])
         out = np.zeros(len(items), bool)
-        order = np.lexsort((items, size))
-        for k in range(0, len(order), _TOGETHER):
-            own = order[k : k + _TOGETHER]
-            out[own] = self._distances(items[own], first[own], last[own], chars) <= most_edits * size[own] + 1e-9
+        blocks = (size + 63) // 64
+        for n in np.unique(blocks).tolist():
+            alike = np.flatnonzero(blocks == n)
+            alike = alike[np.argsort(length[alike], kind="stable")]
+            together = max(_TOGETHER // n, 1)
+            for k in range(0, len(alike), together):
+                own = alike[k : k + together]
+                last = np.cumsum(length[own])
+                out[own] = self._distances(items[own], last - length[own], last, np.concatenate([windows[i] for i in own]), sizes) <= most[own]
         return out
 
-    def _distances(self, items: np.ndarray, first: np.ndarray, last: np.ndarray, chars: np.ndarray) -> np.ndarray:
-        """Least edit distance of each item to a substring of its window: Myers' bits in blocks of 64."""
+    def _distances(self, items: np.ndarray, first: np.ndarray, last: np.ndarray, chars: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+        """Least edit distance of each item, or of so many of its first characters, to a substring of its window: Myers' bits in blocks of 64."""
         distinct, which = np.unique(items, return_inverse=True)
-        size = self.sizes[distinct]
-        letters = np.unique(np.concatenate([self.text[k] for k in distinct]))
+        size = (self.sizes if sizes is None else sizes)[distinct]
+        texts = [self.text[k][:n] for k, n in zip(distinct, size, strict=True)]
+        every = np.concatenate(texts)
+        letters = np.unique(every)
         blocks = int(size.max() + 63) // 64
         if len(distinct) > 1 and len(distinct) * blocks * len(letters) > 1 << 22:
             half = len(items) // 2
-            return np.concatenate([self._distances(items[a], first[a], last[a], chars) for a in (slice(half), slice(half, None))])
+            return np.concatenate([self._distances(items[a], first[a], last[a], chars, sizes) for a in (slice(half), slice(half, None))])
         masks = np.zeros((blocks, len(letters) + 1, len(distinct)), np.uint64)  # the last letter is any other
-        for n, k in enumerate(distinct):
-            place = np.arange(size[n])
-            np.bitwise_or.at(masks, (place >> 6, np.searchsorted(letters, self.text[k]), n), np.uint64(1) << (place & 63).astype(np.uint64))
-        code = np.minimum(np.searchsorted(letters, chars), len(letters) - 1)
-        code = np.append(np.where(letters[code] == chars, code, len(letters)), len(letters))
+        place = np.arange(len(every)) - np.repeat(np.cumsum(size) - size, size)
+        own = ((place >> 6) * (len(letters) + 1) + np.searchsorted(letters, every)) * len(distinct) + np.repeat(np.arange(len(distinct)), size)
+        np.bitwise_or.at(masks.ravel(), own, np.uint64(1) << (place & 63).astype(np.uint64))
+        code = np.full(int(max(letters[-1], chars.max(initial=0))) + 1, len(letters) * len(distinct), np.intp)
+        code[letters] = np.arange(len(letters)) * len(distinct)
+        other, code = len(letters) * len(distinct) + which, code.take(chars)
         layer = np.arange(blocks)[:, None] * masks[0].size
         masks = masks.ravel()
         one, top = np.uint64(1), np.uint64(63)
         plus, minus = np.full((blocks, len(items)), ~np.uint64(0)), np.zeros((blocks, len(items)), np.uint64)
         up, down = np.zeros_like(minus), np.zeros_like(minus)
+        full = bool((size == 64 * blocks).all())  # all end in the last block, at its last bit
         last_block, bit = (size[which] - 1) // 64 * len(items) + np.arange(len(items)), ((size[which] - 1) % 64).astype(np.uint64)
         score = size[which].astype(np.int64)
         best = score.copy()
         # All blocks at a time, each a column behind the one before it. Columns outside of a window hold no letter of an item, which leaves the start as it is and betters no end.
         length = last - first
-        steps = int(length.max()) + blocks - 1
-        held = np.repeat((len(letters) * len(distinct) + which)[None], blocks - 1, axis=0)
-        for begin in range(0, steps, _COLUMNS):
-            column = np.arange(begin, min(begin + _COLUMNS, steps))[:, None]
-            grid = np.concatenate([held, code[np.where(column < length, first + column, len(chars))] * len(distinct) + which])
-            held = grid[len(column) :]
-            for k in range(len(column)):
-                eq = masks.take(grid[k : k + blocks][::-1] + layer)
-                xv = eq | minus
-                eq |= down
-                xh = eq & plus
-                xh += plus
-                xh ^= plus
-                xh |= eq
-                ph = xh | plus
-                np.invert(ph, out=ph)
-                ph |= minus
-                xh &= plus  # from here on the steps down
+        least, held = int(length.min()), layer + other
+        for k in range(int(length.max()) + blocks - 1):
+            for block in range(blocks - 1, 0, -1):
+                np.add(held[block - 1], layer[1], out=held[block])
+            if k < least:
+                np.add(code.take(first + k, mode="clip"), which, out=held[0])
+            else:
+                held[0] = np.where(k < length, code.take(first + k, mode="clip") + which, other) if len(code) else other
+            eq = masks.take(held, mode="clip")
+            xv = eq | minus
+            eq |= down
+            xh = eq & plus
+            xh += plus
+            xh ^= plus
+            xh |= eq
+            ph = xh | plus
+            np.invert(ph, out=ph)
+            ph |= minus
+            xh &= plus  # from here on the steps down
+            if full:
+                score += (ph[-1] >> top).view(np.int64)
+                score -= (xh[-1] >> top).view(np.int64)
+            else:
                 score += (ph.take(last_block) >> bit & one).view(np.int64)
                 score -= (xh.take(last_block) >> bit & one).view(np.int64)
-                np.minimum(best, score, out=best)
-                next_up, next_down = ph[:-1] >> top, xh[:-1] >> top
-                ph <<= one
-                ph |= up
-                xh <<= one
-                xh |= down
-                np.bitwise_or(xv, ph, out=plus)
-                np.invert(plus, out=plus)
-                plus |= xh
-                np.bitwise_and(ph, xv, out=minus)
-                up[1:], down[1:] = next_up, next_down
+            np.minimum(best, score, out=best)
+            next_up, next_down = ph[:-1] >> top, xh[:-1] >> top
+            ph <<= one
+            ph |= up
+            xh <<= one
+            xh |= down
+            np.bitwise_or(xv, ph, out=plus)
+            np.invert(plus, out=plus)
+            plus |= xh
+            np.bitwise_and(ph, xv, out=minus)
+            up[1:], down[1:] = next_up, next_down
         return best
 
     def _verify(self, waiting: list[tuple], most_edits: float, out: dict[tuple[int, int], tuple[int, int, int]]) -> None:
         """Puts the nearest places of (text, item, characters of a window, their places) into out."""
-        near = self._near(np.array([w[1] for w in waiting], np.int64), [w[2] for w in waiting], most_edits) if waiting else ()
-        for k in np.flatnonzero(near).tolist():
+        for k in np.flatnonzero(self._near(waiting, most_edits)).tolist():
             text, item, chars, places = waiting[k]
             best = out.get((text, item))
             if best and best[0] == 0:
@@ -392,15 +422,38 @@ class Items:
         """(text, item): the least (distance, start, end), places counted in the text's code points."""
         out: dict[tuple[int, int], tuple[int, int, int]] = {}
         waiting: list[tuple] = []
+        held = 0
         for a, _, chars, at, place in normalized(texts):
             for text, item, own, places in self._windows(chars, at, place, most_edits):
                 waiting.append((a + text, item, own, places - place[at[text]]))
-                if len(waiting) >= 2 * _TOGETHER:
+                held += len(own)
+                if held >= _HELD:
                     self._verify(waiting, most_edits, out)
+                    held = 0
         self._verify(waiting, most_edits, out)
         return out
 
 
+def _joined(waiting: list[tuple]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(the joined window of each window, items, joined windows): windows of one text and item that are nearly at the same place, as they follow each other, are one."""
+    which, items, windows = [], [], []
+    before, room = None, 0
+    for text, item, chars, places in waiting:
+        new = len(chars)
+        if before and len(places) and before[:2] == (text, item) and before[2][0] <= places[0] <= before[2][-1]:
+            new -= len(before[2]) - int(np.searchsorted(before[2], places[0]))
+        if new < len(chars) and new <= room:
+            room -= max(new, 0)
+            windows[-1].append(chars[len(chars) - new :] if new > 0 else chars[:0])
+        else:
+            items.append(item)
+            windows.append([chars])
+            room = 64
+        which.append(len(items) - 1)
+        before = text, item, places
+    return np.array(which), np.array(items), [w[0] if len(w) == 1 else np.concatenate(w) for w in windows]
+
+
 def _scan(masks: dict[int, int], m: int, text, anchored: bool) -> tuple[int, int]:
     """(least distance of the pattern to a substring that ends somewhere, that end); anchored: substrings from the text's start on only."""
     full, high = (1 << m) - 1, 1 << (m - 1)

@@ -234,3 +234,47 @@ def test_plans_share_the_paths_of_their_seeds():
     finally:
         D.Path = path
     assert len(made) == max(plan.repetitions for plan in D.PLANS[:2]) < len(index.walks)
+
+
+def windows_around(rng, items, share, n):
+    """(text, item, characters, places) of n windows, some with an item edited by so much in them, each again half an item on."""
+    out = []
+    for text in range(n):
+        k = rng.randrange(len(items))
+        own = edited(rng, items[k][1], rng.choice(share)) if share else passage(rng, 30)
+        ((_, _, chars, _, place),) = list(D.normalized(pa.array([passage(rng, 3) + " " + own + " " + passage(rng, 3)])))
+        room = 32 + int(1.4 * len(items[k][1]))
+        for first in (0, 32):
+            if len(chars[first : first + room]):
+                out.append((text, k, chars[first : first + room], place[:-1][first : first + room]))
+    return out
+
+
+def test_openings_lose_no_window_that_holds_its_item():
+    rng = random.Random(15)
+    items = [(k, passage(rng, 60)[:n].strip()) for k, n in enumerate((12, 60, 64, 65, 100, 159, 161, 230, 320, 390))]
+    index = D.Items(items)
+    waiting = windows_around(rng, items, (0, 0.1, 0.18, 0.22, 0.3, 0.6), 300)
+    near = index._near(waiting, D.MOST_EDITS)
+    within = [D._scan(index.mask(k), len(index.text[k]), chars.tolist(), False)[0] <= int(D.MOST_EDITS * len(index.text[k]) + 1e-9) for _, k, chars, _ in waiting]
+    assert 100 < sum(within) < len(within) - 100 and near.tolist() == within
+
+
+def test_windows_that_hold_no_item_are_left_after_its_opening():
+    """Of windows without their item only the opening's blocks of 64 characters are compared, in overlapping windows once."""
+    rng = random.Random(16)
+    items = [(k, passage(rng, 60)[:300]) for k in range(20)]
+    index = D.Items(items)
+    waiting = windows_around(rng, items, (), 200)
+    compared = []
+    distances = index._distances
+
+    def counted(which, first, last, chars, *sizes):
+        compared.append(int((((sizes or (index.sizes,))[0][which] + 63) // 64 * (last - first)).sum()))
+        return distances(which, first, last, chars, *sizes)
+
+    index._distances = counted
+    out = {}
+    index._verify(list(waiting), D.MOST_EDITS, out)
+    whole = sum((int(index.sizes[k]) + 63) // 64 * len(chars) for _, k, chars, _ in waiting)
+    assert not out and 0 < sum(compared) < 0.4 * whole
