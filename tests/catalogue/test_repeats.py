@@ -39,3 +39,8 @@ def listed(monkeypatch):
 def test_tiered_search(spark, parts, listed):
     compared(spark, parts, "tiered_search")
     assert set(listed) == {len(NAMES)}
+
+
+def test_possible_half_words(spark, parts, listed):
+    compared(spark, parts, "possible_half_words")
+    assert set(listed) == {len(NAMES)}
