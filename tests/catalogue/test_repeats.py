@@ -44,3 +44,8 @@ def test_tiered_search(spark, parts, listed):
 def test_possible_half_words(spark, parts, listed):
     compared(spark, parts, "possible_half_words")
     assert set(listed) == {len(NAMES)}
+
+
+def test_search_exact_all_words(spark, parts, listed):
+    compared(spark, parts, "search_exact_all_words")
+    assert set(listed) == {len(NAMES)}
