@@ -55,3 +55,8 @@ def test_full_search(spark, parts, listed):
     got = sorted(map(tuple, catalogue.full_search(spark, parts).collect()))
     assert set(listed) == {len(NAMES)}
     assert got == sorted(map(tuple, match.search(catalogue.asked(spark, parts), catalogue.posted(spark, parts)).collect())) and got
+
+
+def test_reverse_containment(spark, parts, listed):
+    compared(spark, parts, "reverse_containment")
+    assert set(listed) == {len(NAMES)}
