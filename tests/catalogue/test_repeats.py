@@ -60,3 +60,8 @@ def test_full_search(spark, parts, listed):
 def test_reverse_containment(spark, parts, listed):
     compared(spark, parts, "reverse_containment")
     assert set(listed) == {len(NAMES)}
+
+
+def test_semi_join_candidates(spark, parts, listed):
+    compared(spark, parts, "semi_join_candidates")
+    assert set(listed) == {len(NAMES)}
