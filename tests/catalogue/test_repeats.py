@@ -65,3 +65,8 @@ def test_reverse_containment(spark, parts, listed):
 def test_semi_join_candidates(spark, parts, listed):
     compared(spark, parts, "semi_join_candidates")
     assert set(listed) == {len(NAMES)}
+
+
+def test_allof_intersection(spark, parts, listed):
+    compared(spark, parts, "allof_intersection")
+    assert set(listed) == {len(NAMES)}
