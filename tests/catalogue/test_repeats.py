@@ -70,3 +70,8 @@ def test_semi_join_candidates(spark, parts, listed):
 def test_allof_intersection(spark, parts, listed):
     compared(spark, parts, "allof_intersection")
     assert set(listed) == {len(NAMES)}
+
+
+def test_set_difference(spark, parts, listed):
+    compared(spark, parts, "set_difference")
+    assert set(listed) == {len(NAMES)}
