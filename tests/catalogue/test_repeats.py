@@ -75,3 +75,8 @@ def test_allof_intersection(spark, parts, listed):
 def test_set_difference(spark, parts, listed):
     compared(spark, parts, "set_difference")
     assert set(listed) == {len(NAMES)}
+
+
+def test_rank_group_gather(spark, parts, listed):
+    compared(spark, parts, "rank_group_gather")
+    assert set(listed) == {len(NAMES)}
