@@ -80,3 +80,8 @@ def test_set_difference(spark, parts, listed):
 def test_rank_group_gather(spark, parts, listed):
     compared(spark, parts, "rank_group_gather")
     assert set(listed) == {len(NAMES)}
+
+
+def test_topk_no_group_split(spark, parts, listed):
+    compared(spark, parts, "topk_no_group_split")
+    assert set(listed) == {len(NAMES)}
