@@ -85,3 +85,8 @@ def test_rank_group_gather(spark, parts, listed):
 def test_topk_no_group_split(spark, parts, listed):
     compared(spark, parts, "topk_no_group_split")
     assert set(listed) == {len(NAMES)}
+
+
+def test_anti_join_siblings(spark, parts, listed):
+    compared(spark, parts, "anti_join_siblings")
+    assert set(listed) == {len(NAMES)}
