@@ -90,3 +90,8 @@ def test_topk_no_group_split(spark, parts, listed):
 def test_anti_join_siblings(spark, parts, listed):
     compared(spark, parts, "anti_join_siblings")
     assert set(listed) == {len(NAMES)}
+
+
+def test_group_promotion(spark, parts, listed):
+    compared(spark, parts, "group_promotion")
+    assert set(listed) == {len(NAMES)}
