@@ -95,3 +95,8 @@ def test_anti_join_siblings(spark, parts, listed):
 def test_group_promotion(spark, parts, listed):
     compared(spark, parts, "group_promotion")
     assert set(listed) == {len(NAMES)}
+
+
+def test_merge_runs(spark, parts, listed):
+    compared(spark, parts, "merge_runs")
+    assert set(listed) == {len(NAMES)}
