@@ -100,3 +100,8 @@ def test_group_promotion(spark, parts, listed):
 def test_merge_runs(spark, parts, listed):
     compared(spark, parts, "merge_runs")
     assert set(listed) == {len(NAMES)}
+
+
+def test_words_in_order(spark, parts, listed):
+    compared(spark, parts, "words_in_order")
+    assert set(listed) == {len(NAMES)}
