@@ -105,3 +105,8 @@ def test_merge_runs(spark, parts, listed):
 def test_words_in_order(spark, parts, listed):
     compared(spark, parts, "words_in_order")
     assert set(listed) == {len(NAMES)}
+
+
+def test_adjacent_words(spark, parts, listed):
+    compared(spark, parts, "adjacent_words")
+    assert set(listed) == {len(NAMES)}
