@@ -110,3 +110,8 @@ def test_words_in_order(spark, parts, listed):
 def test_adjacent_words(spark, parts, listed):
     compared(spark, parts, "adjacent_words")
     assert set(listed) == {len(NAMES)}
+
+
+def test_paste_tally(spark, parts, listed):
+    compared(spark, parts, "paste_tally")
+    assert set(listed) == {len(NAMES)}
