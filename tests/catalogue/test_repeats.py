@@ -115,3 +115,8 @@ def test_adjacent_words(spark, parts, listed):
 def test_paste_tally(spark, parts, listed):
     compared(spark, parts, "paste_tally")
     assert set(listed) == {len(NAMES)}
+
+
+def test_union_lookups(spark, parts, listed):
+    compared(spark, parts, "union_lookups")
+    assert set(listed) == {len(NAMES)}
