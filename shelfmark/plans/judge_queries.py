@@ -170,8 +170,9 @@ m(query_id, row_id, k, n, taken) AS (SELECT query_id, row_id, k, n, 1 << item FR
 SELECT DISTINCT query_id, row_id FROM m WHERE k = n""")
 def titles_word_for_word(spark, sf_dir):
     """J16."""
-    units, hits, words, _ = _parts(spark, sf_dir)
-    return judge.title_equals(units, hits, words)
+    asks, lists = _asks(spark, sf_dir), repeats.once(listed(spark, sf_dir), "id", "title")
+    units, hits, words, _ = _parts(asks.one, lists.one, ("title",))
+    return repeats.spread(judge.title_equals(units, hits, words), asks, lists)
 
 
 _MARKS = f"""{_BASE}, r AS (SELECT row_id, wi, word, CAST(coalesce(sum(length(word) + 1) OVER (PARTITION BY row_id ORDER BY wi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM w WHERE field = 'title'),
