@@ -240,14 +240,15 @@ e AS (SELECT DISTINCT query_id, row_id, q.label FROM q JOIN r ON q.label = r.lab
 SELECT query_id, row_id, label, 'exact' AS kind FROM e UNION ALL SELECT DISTINCT query_id, r.row_id, q.label, 'loose' FROM q JOIN r ON q.n2 = r.n2 AND q.label = r.label WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.query_id = q.query_id AND e.row_id = r.row_id)""")
 def label_ranges(spark, sf_dir):
     """A number that is asked meets ranges of any length; rows that share the query's noun and label, but no number, are loose."""
-    own = listed(spark, sf_dir)
-    rows = labels.ranges(own.select(F.col("id").alias("row_id"), F.expr(_VOLUMES).alias("title")), "title")
+    own = listed(spark, sf_dir).select("id", "n2", F.expr(_VOLUMES).alias("title"))
     k = F.floor(F.col("id") / 100).cast("int")
     text = F.concat(F.when(k % 3 == 0, "book ").when(k % 3 == 1, "volume no. ").otherwise("Grade #"), (k * 7 % 90 + 1).cast("string"))
-    some = own.filter("id % 100 = 0")
-    typed = labels.ranges(some.select(F.col("id").alias("query_id"), text.alias("text")), "text")
-    shared = some.select(F.col("id").alias("query_id"), "n2").join(own.select(F.col("id").alias("row_id"), "n2"), "n2")
-    return labels.label_hits(typed, rows, shared)
+    some = own.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "n2", text.alias("text"))
+    asks, lists = repeats.once(some, "query_id", "n2", "text", small=True), repeats.once(own, "id", "n2", "title")
+    typed = labels.ranges(asks.one.select("query_id", "text"), "text")
+    rows = labels.ranges(lists.one.select(F.col("id").alias("row_id"), "title"), "title")
+    shared = asks.one.select("query_id", "n2").join(lists.one.select(F.col("id").alias("row_id"), "n2"), "n2")
+    return repeats.spread(labels.label_hits(typed, rows, shared), asks, lists)
 
 
 @query("""SELECT n_nationkey AS gid, n_name AS tab, CASE n_nationkey % 5 WHEN 1 THEN 'missing' WHEN 2 THEN 'empty' WHEN 3 THEN 'html' END AS kind,

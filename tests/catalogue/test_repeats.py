@@ -144,3 +144,10 @@ def test_given_names_and_initials(spark, two_words, listed):
 
 def test_titles_word_for_word(spark, two_words, listed):
     judged(spark, two_words, listed, "titles_word_for_word", ["title"])
+
+
+def test_label_ranges(spark, two_words, monkeypatch):
+    counts, own = [], judge_queries.labels.ranges
+    monkeypatch.setattr(judge_queries.labels, "ranges", lambda cells, text: counts.append(cells.count()) or own(cells, text))
+    compared(spark, two_words, "label_ranges")
+    assert max(counts) <= judge_queries.listed(spark, two_words).selectExpr("n2", "id % 4", "id % 40", "id % 90", "id % 60", "id % 9").distinct().count() < 1500
