@@ -91,8 +91,10 @@ e AS (SELECT query_id, coalesce(min(i) FILTER (NOT unknown) - 1, max(n)) AS head
 SELECT query_id, CAST(unit AS INTEGER) AS unit, author_word, (head BETWEEN 2 AND 3 AND head < n AND i <= head) OR (tail BETWEEN 2 AND 3 AND tail < n AND i > n - tail) AS name_guess FROM g JOIN e USING (query_id)""")
 def author_words(spark, sf_dir):
     """A10."""
-    units, hits, _, _ = _parts(spark, sf_dir)
-    return judge.author_facts(units, hits)
+    asks, rows = _asks(spark, sf_dir), listed(spark, sf_dir)
+    units, hits, _, _ = _parts(asks.one, repeats.once(rows, "id", "title").one, ("title",))
+    _, by, _, _ = _parts(asks.one, repeats.once(rows, "id", "author").one, ("author",))  # no fact needs a title and its author at once
+    return repeats.spread(judge.author_facts(units, hits.unionByName(by)), asks)
 
 
 @query(f"{_BASE} SELECT DISTINCT ha.query_id, ha.row_id, CAST(u.unit AS INTEGER) AS unit FROM ha JOIN u ON u.query_id = ha.query_id AND abs(u.place - ha.place) = 1")
