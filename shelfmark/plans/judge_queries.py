@@ -130,7 +130,8 @@ f AS (SELECT query_id, row_id, segment, segments, count(DISTINCT word) AS hit FR
 SELECT query_id, row_id, count(*) AS held, segments FROM f JOIN n USING (query_id, segment) WHERE hit = size GROUP BY query_id, row_id, segments""")
 def author_segments(spark, sf_dir):
     """A8."""
-    return judge.segment_hits(judge.segments(asked(spark, sf_dir)), index.postings(listed(spark, sf_dir), ("author",)))
+    asks, lists = _asks(spark, sf_dir), repeats.once(listed(spark, sf_dir), "id", "author")
+    return repeats.spread(judge.segment_hits(judge.segments(asks.one), index.postings(lists.one, ("author",))), asks, lists)
 
 
 _FILLER = _list([*FORMAT, *ROLE, *LABELS])
