@@ -151,8 +151,23 @@ best AS (SELECT query_id, row_id, max(n) AS n FROM (SELECT s.query_id, s.row_id,
 SELECT query_id, row_id FROM d JOIN best USING (query_id, row_id) WHERE n < sets""")
 def scattered_words(spark, sf_dir):
     """A5."""
-    units, hits, words, _ = _parts(spark, sf_dir)
-    return judge.scattered(units, hits, words)
+    asks, lists = _asks(spark, sf_dir), repeats.once(listed(spark, sf_dir), "id", "title", "author")
+    own = kept(lists.one, "pairs")
+    titles, authors = repeats.once(own, "id", "title"), repeats.once(own, "id", "author")
+    cells = [x.every.select(F.col("id").alias("row_id"), F.col("first").alias(name)) for x, name in ((titles, "by_title"), (authors, "by_author"))]
+    pairs = kept(cells[0].join(cells[1], "row_id"), "cells")
+    units, hits, words, _ = _parts(asks.one, titles.one, ("title",))
+    units, hits = kept(units, "units"), kept(hits, "hits")
+    by = kept(match.exact_hits(units, index.postings(authors.one, ("author",))), "by")
+    # a title is judged once for each text; again beside each author that has a required word of the text, if two such words are in the title
+    required = units.filter("required").select("query_id", "unit")
+    beside = kept(by.join(required, ["query_id", "unit"], "left_semi").select("query_id", F.col("row_id").alias("by_author")).distinct(), "beside")
+    two = hits.join(required, ["query_id", "unit"], "left_semi").groupBy("query_id", F.col("row_id").alias("by_title")).agg(F.count_distinct("unit").alias("n")).filter("n >= 2").drop("n")
+    apart = judge.scattered(units, hits, words).withColumnRenamed("row_id", "by_title").join(pairs, "by_title").join(beside, ["query_id", "by_author"], "left_anti")
+    near = kept(pairs.join(beside, "by_author").join(two, ["query_id", "by_title"], "left_semi"), "near")
+    both = [near.join(h.withColumnRenamed("row_id", name), ["query_id", name]).select(*hits.columns) for h, name in ((hits, "by_title"), (by, "by_author"))]
+    named = judge.scattered(units, both[0].unionByName(both[1]), judge.cell_words(index.postings(own, ("title",))))
+    return repeats.spread(apart.select("query_id", "row_id").unionByName(named), asks, lists)
 
 
 @query(f"""{_BASE}, s AS (SELECT id AS row_id, n2 AS name, CASE WHEN author = '' THEN [] ELSE list_transform(string_split(author, ';'), lambda x: string_split(trim(x), ' ')[-1]) END AS surnames FROM l WHERE id % 7 = 4),
