@@ -101,8 +101,9 @@ def author_words(spark, sf_dir):
 @query(f"{_BASE} SELECT DISTINCT ha.query_id, ha.row_id, CAST(u.unit AS INTEGER) AS unit FROM ha JOIN u ON u.query_id = ha.query_id AND abs(u.place - ha.place) = 1")
 def words_beside_authors(spark, sf_dir):
     """J14."""
-    units, hits, _, _ = _parts(spark, sf_dir)
-    return judge.beside_author(units, hits)
+    asks, lists = _asks(spark, sf_dir), repeats.once(listed(spark, sf_dir), "id", "author")
+    units, hits, _, _ = _parts(asks.one, lists.one, ("author",))
+    return repeats.spread(judge.beside_author(units, hits), asks, lists)
 
 
 @query(f"""{_BASE}, near AS (SELECT DISTINCT ha.query_id, ha.row_id, u.unit FROM ha JOIN u ON u.query_id = ha.query_id AND abs(u.place - ha.place) = 1),
